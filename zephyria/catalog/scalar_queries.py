@@ -99,8 +99,8 @@ _RATIO = "((avg_temp-(select min(avg_temp) from wm))/((select max(avg_temp) from
         q.WARD,
         f"wm as (select ward, {q.r('avg(avg_temp)', 6)} as avg_temp, {q.r('avg(lat)', 6)} as lat, {q.r('avg(lon)', 6)} as lon from ward group by ward)",
     )
-    + f"""select ward, avg_temp, lat, lon, printf('#%02x40%02x', cast(trunc({q.r(_RATIO + '*255e0', 6)}) as integer),
- cast(trunc({q.r('(1e0-' + _RATIO + ')*255e0', 6)}) as integer)) as colour from wm""",
+    + f"""select ward, avg_temp, lat, lon, printf('#%02x40%02x', cast(trunc({q.g(_RATIO + '*255e0')}) as integer),
+ cast(trunc({q.g('(1e0-' + _RATIO + ')*255e0')}) as integer)) as colour from wm""",
 )
 def value_color(spark, sf):
     return spatial.ward_colours(warehouse.ward_year(spark, sf), "avg_temp")

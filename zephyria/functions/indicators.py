@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zephyria import config
-from zephyria.functions.numeric import clip, rnd
+from zephyria.functions.numeric import clip, guard, rnd
 
 
 def heat_index(temp: Column, humidity: Column) -> Column:
@@ -53,7 +53,7 @@ def water_shrinkage(water: Column, historical_max: Column) -> Column:
 def ramp_colour(value: Column, lo: Column, hi: Column) -> Column:
     """Blue-to-red ``#rr40bb`` colour of a value within [lo, hi], channels truncated."""
     ratio = (value - lo) / (hi - lo + config.EPSILON)
-    red = rnd(ratio * 255.0, 6).cast("int")
-    blue = rnd((F.lit(1.0) - ratio) * 255.0, 6).cast("int")
+    red = guard(ratio * 255.0).cast("int")
+    blue = guard((F.lit(1.0) - ratio) * 255.0).cast("int")
     # format_string would print "null" for a missing value
     return F.when(value.isNotNull(), F.format_string("#%02x40%02x", red, blue))

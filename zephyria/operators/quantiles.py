@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1024
-_ALL = "_all"
 
 
 def quantiles(
@@ -25,23 +24,25 @@ def quantiles(
     Without ``keys`` the result is one row for the table. Missing values are
     ignored, and a group without values has no row.
     """
-    group = list(keys) or [_ALL]
-    source = df if keys else df.withColumn(_ALL, F.lit(0))
+    group = list(keys)
     counts = (
-        source.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    # no hint: the number of groups grows with the data, so its measured size decides
-    span = counts.groupBy(*group).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
+    limits = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")]
+    if group:
+        # no hint: the number of groups grows with the data, so its measured size decides
+        spanned = counts.join(counts.groupBy(*group).agg(*limits), group)
+    else:
+        row = counts.agg(F.struct(*limits)).scalar()
+        spanned = counts.withColumn("_row", row).select("*", "_row.*").drop("_row")
     place = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bin_of = F.least(F.coalesce(F.floor(place * bins), F.lit(0)), F.lit(bins - 1))
-    binned = counts.join(span, group).withColumn("_bin", bin_of).drop("_lo", "_hi")
+    binned = spanned.withColumn("_bin", bin_of).drop("_lo", "_hi")
 
     histogram = binned.groupBy(*group, "_total", "_bin").agg(F.sum("_n").alias("_in_bin"))
-    by_bin = Window.partitionBy(*group).orderBy("_bin")  # at most `bins` rows per group
+    by_bin = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bin")  # at most `bins` rows per group
     running = histogram.withColumn(
         "_before", F.sum("_in_bin").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in_bin")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from zephyria.operators.columns import existing
 from zephyria.operators.scaling import standardise
 
 STARTS = 10
+PARALLEL_STARTS = 5
 
 
 def ward_profiles(wards: DataFrame, cols: Sequence[str] = config.WARD_FEATURES) -> DataFrame:
@@ -30,7 +32,9 @@ def assign_clusters(profiles: DataFrame, k: int = 5, seed: int = config.SEED, st
     points = VectorAssembler(inputCols=cols, outputCol="features").transform(scaled).select("ward", "features")
     points = points.persist()
     try:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=100).fit(points) for i in range(starts)]
+        # the starts are independent Spark jobs: submit a few at a time
+        with ThreadPool(PARALLEL_STARTS) as pool:
+            fits = pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=100).fit(points), range(starts))
     finally:
         points.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)

@@ -102,6 +102,18 @@ LEARNING_RATE = 0.1
 FORECAST_DEPTH = 10  # the trees are depth-limited; Spark allows at most 30
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Training rows spread evenly over the whole cluster and kept for all passes.
+
+    Tree growing reads its input once per level and costs far more CPU than its
+    bytes suggest, so a small table must not stay in the few tasks that adaptive
+    execution would give it. Keys hash evenly because (station, date) is unique.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *KEYS, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
     """Scaled sequences labelled by split, and the scaling range of the features."""
     features = existing(df, spec.features)
@@ -116,12 +128,14 @@ def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
 def run_forecast(df: DataFrame, spec: Forecast, seed: int = config.SEED) -> DataFrame:
     """(station, date, actual, predicted) of the test rows, in original units."""
     rows, bounds = forecast_rows(df, spec)
-    train = rows.where(F.col("split") == "train")
+    train = _spread(rows.where(F.col("split") == "train"))
     test = rows.where(F.col("split") != "train" if spec.test_on_validation else F.col("split") == "test")
     forest = RandomForestRegressor(
         numTrees=config.FORECAST_TREES, maxDepth=FORECAST_DEPTH, featureSubsetStrategy="all", seed=seed
     )
-    predicted = forest.fit(train).transform(test)
+    model = forest.fit(train)
+    train.unpersist()
+    predicted = model.transform(test)
     out = predicted.select(*KEYS, ORDER, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     for column in ("actual", "predicted"):
         out = inverse_minmax(out, column, spec.target, bounds)
@@ -147,8 +161,10 @@ def run_classifier(df: DataFrame, spec: Classification, seed: int = config.SEED)
     )
     points = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     points = points.select(*KEYS, ORDER, "label", "features", is_holdout().alias("held"))
-    train, test = points.where(~F.col("held")), points.where("held")
-    predicted = _fit(train, spec, seed).transform(test)
+    train, test = _spread(points.where(~F.col("held"))), points.where("held")
+    model = _fit(train, spec, seed)
+    train.unpersist()
+    predicted = model.transform(test)
     return predicted.select(
         *KEYS, ORDER, F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")
     )
