@@ -39,12 +39,9 @@ def test_cleaning_shuffles_once(spark, sf_dir, tmp_path):
     warehouse.aqi_daily(spark, sf_dir).write.parquet(f"{tmp_path}/aqi")
     met, aqi = spark.read.parquet(f"{tmp_path}/met"), spark.read.parquet(f"{tmp_path}/aqi")
     assert plan_of(daily.clean_weather(met)).count("Exchange ") == 1
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        whole = daily.engineer_features(daily.merge_daily(daily.clean_weather(met), daily.clean_air(aqi)))
-        assert plan_of(whole).count("Exchange ") == 2  # one per input, none for the join or the later windows
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = plan_of(daily.engineer_features(daily.merge_daily(daily.clean_weather(met), daily.clean_air(aqi))))
+    assert whole.count("Exchange ") == 2  # one per input, none for the join or the later windows
+    assert "SortMergeJoin" in whole and whole.count("+- Sort ") == 7  # three per cleaning, one for the lags
 
 
 def test_scan_reads_only_needed_columns(spark, sf_dir):

@@ -41,10 +41,14 @@ def drop_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.na.drop(subset=existing(df, columns))
 
 
+def calendar_columns() -> dict[str, Column]:
+    date = F.col(config.DATE)
+    return {**date_parts(date), "season": season_of(F.month(date))}
+
+
 def add_calendar(df: DataFrame, columns: Sequence[str] = ("year", "month", "day", "doy", "season")) -> DataFrame:
     """Derive the named calendar columns from ``date``."""
-    date = F.col(config.DATE)
-    parts = {**date_parts(date), "season": season_of(F.month(date))}
+    parts = calendar_columns()
     return df.withColumns({c: parts[c] for c in columns})
 
 

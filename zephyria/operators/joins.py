@@ -1,8 +1,9 @@
 """Joins of the daily tables.
 
-No join carries a broadcast hint: both sides grow with the data, so the size
-measured at run time decides. Single-row statistics travel as scalar
-subqueries, whose size is one row by definition.
+No join carries a broadcast hint: both sides grow with the data. Daily tables
+are merged by (station, date); for smaller sides the size measured at run time
+decides. Single-row statistics travel as scalar subqueries, whose size is one
+row by definition.
 """
 
 from __future__ import annotations
@@ -12,24 +13,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zephyria.operators.columns import add_calendar, fill_constants
+from zephyria.operators.columns import calendar_columns, fill_constants
 from zephyria.operators.series import KEYS, ORDER
 
 DAILY_KEYS = (*KEYS, ORDER)
-MERGE_KEYS = (*DAILY_KEYS, "year", "month", "season")
+CALENDAR_KEYS = ("year", "month", "season")
+MERGE_KEYS = (*DAILY_KEYS, *CALENDAR_KEYS)
 
 
 def join_radiation(weather: DataFrame, radiation: DataFrame) -> DataFrame:
     """Keep every weather day; days without humidity or pressure get the defaults."""
-    return fill_constants(weather.join(radiation, list(DAILY_KEYS), "left"))
+    return fill_constants(weather.join(radiation.hint("merge"), list(DAILY_KEYS), "left"))
 
 
 def join_weather_air(weather: DataFrame, air: DataFrame) -> DataFrame:
-    """Days present in both tables; the air side derives the calendar keys it lacks."""
-    air = add_calendar(air, [c for c in ("year", "month", "season") if c not in air.columns])
-    clashes = (set(weather.columns) & set(air.columns)) - set(MERGE_KEYS)
+    """Days present in both tables whose calendar columns agree; clashes get a suffix.
+
+    Calendar columns the air side lacks follow from its date, so they need not
+    be join keys: checking the weather side against the date is the same, and
+    two sides already sorted by (station, date) merge without another sort.
+    Both tables grow with the data, so neither is ever broadcast.
+    """
+    stored = [c for c in CALENDAR_KEYS if c in air.columns]
+    derived = calendar_columns()
+    for c in CALENDAR_KEYS:
+        if c not in stored:
+            weather = weather.where(F.col(c) == derived[c])
+    keys = [*DAILY_KEYS, *stored]
+    clashes = (set(weather.columns) & set(air.columns)) - set(keys)
     air = air.withColumnsRenamed({c: f"{c}_aqi" for c in clashes})
-    return weather.join(air, list(MERGE_KEYS), "inner")
+    return weather.join(air.hint("merge"), keys, "inner")
 
 
 def attach_air(df: DataFrame, air: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ _TUNING = {
     # windows leave the data hashed by station; a later join on (station, date)
     # may then reuse that layout instead of shuffling both sides again
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # the JVM never compiles a method beyond 8000 bytes of bytecode; a wide stage
+    # is faster as split expressions than as one interpreted loop
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
