@@ -63,11 +63,16 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 
 def distribution(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str], probs: Mapping[str, float], digits: int
+    df: DataFrame,
+    cols: Sequence[str],
+    by: Sequence[str],
+    probs: Mapping[str, float],
+    digits: int,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Moments and exact quantiles per group and variable, in long form."""
     values = df.select(*by, *cols).unpivot(list(by), list(cols), "variable", "value")
-    order_stats = quantiles(values, "value", probs, [*by, "variable"])
+    order_stats = quantiles(values, "value", probs, [*by, "variable"], few_groups=few_groups)
     joined = moments(df, cols, by).join(order_stats, [*by, "variable"], "left")
     return joined.select(
         *by, "variable", "n", *[rnd(F.col(c), digits).alias(c) for c in (*LONG_STATS, *probs)]
@@ -75,19 +80,22 @@ def distribution(
 
 
 def seasonal_stats(df: DataFrame, cols: Sequence[str] = config.SEASONAL_COLUMNS) -> DataFrame:
-    """Mean, sample deviation, min, max and median per known season and variable."""
-    return distribution(_known_seasons(df), existing(df, cols), ["season"], {"median": 0.5}, 2).drop("n")
+    """Mean, sample deviation, min, max and median per known season and variable.
+
+    The four known seasons times the named columns bound the number of groups.
+    """
+    return distribution(_known_seasons(df), existing(df, cols), ["season"], {"median": 0.5}, 2, few_groups=True).drop("n")
 
 
 def seasonal_box(df: DataFrame, column: str = "temperature_mean") -> DataFrame:
     """Box-plot figures of one column per season; seasons without values are absent."""
     present = _known_seasons(df).where(F.col(column).isNotNull())
-    return distribution(present, [column], ["season"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, 4)
+    return distribution(present, [column], ["season"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, 4, few_groups=True)
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, range and quartiles of each column."""
-    return distribution(df, cols, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, 2)
+    return distribution(df, cols, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}, 2, few_groups=True)
 
 
 def monthly_climatology(df: DataFrame) -> DataFrame:

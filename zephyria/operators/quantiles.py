@@ -17,13 +17,23 @@ BINS = 1024
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (), bins: int = BINS
+    df: DataFrame,
+    value: str,
+    probs: Mapping[str, float],
+    keys: Sequence[str] = (),
+    bins: int = BINS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """One row per key with ``{name: quantile}``; ranks interpolate linearly.
 
     Without ``keys`` the result is one row for the table. Missing values are
     ignored, and a group without values has no row.
+
+    ``few_groups`` is the caller's statement that the number of groups is fixed
+    (such as seasons times variables). Only then are the per-group figures
+    broadcast, which spares the counts a second shuffle on those hot keys.
     """
+    small = F.broadcast if few_groups else (lambda side: side)
     group = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
@@ -32,8 +42,7 @@ def quantiles(
     )
     limits = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")]
     if group:
-        # no hint: the number of groups grows with the data, so its measured size decides
-        spanned = counts.join(counts.groupBy(*group).agg(*limits), group)
+        spanned = counts.join(small(counts.groupBy(*group).agg(*limits)), group)
     else:
         row = counts.agg(F.struct(*limits)).scalar()
         spanned = counts.withColumn("_row", row).select("*", "_row.*").drop("_row")
@@ -61,7 +70,7 @@ def quantiles(
 
     # the bins that hold a wanted rank: about 2 * len(probs) of `bins` per group
     inside = Window.partitionBy(*group, "_bin").orderBy("_v")
-    ordered = binned.join(hit, [*group, "_bin"]).withColumn(
+    ordered = binned.join(small(hit), [*group, "_bin"]).withColumn(
         "_start",
         F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
     )

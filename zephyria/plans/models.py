@@ -133,8 +133,10 @@ def run_forecast(df: DataFrame, spec: Forecast, seed: int = config.SEED) -> Data
     forest = RandomForestRegressor(
         numTrees=config.FORECAST_TREES, maxDepth=FORECAST_DEPTH, featureSubsetStrategy="all", seed=seed
     )
-    model = forest.fit(train)
-    train.unpersist()
+    try:
+        model = forest.fit(train)
+    finally:
+        train.unpersist()
     predicted = model.transform(test)
     out = predicted.select(*KEYS, ORDER, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     for column in ("actual", "predicted"):
@@ -162,8 +164,10 @@ def run_classifier(df: DataFrame, spec: Classification, seed: int = config.SEED)
     points = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     points = points.select(*KEYS, ORDER, "label", "features", is_holdout().alias("held"))
     train, test = _spread(points.where(~F.col("held"))), points.where("held")
-    model = _fit(train, spec, seed)
-    train.unpersist()
+    try:
+        model = _fit(train, spec, seed)
+    finally:
+        train.unpersist()
     predicted = model.transform(test)
     return predicted.select(
         *KEYS, ORDER, F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")
