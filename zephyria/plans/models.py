@@ -108,10 +108,13 @@ def _spread(df: DataFrame) -> DataFrame:
     Tree growing reads its input once per level and costs far more CPU than its
     bytes suggest, so a small table must not stay in the few tasks that adaptive
     execution would give it. Keys hash evenly because (station, date) is unique.
+    Every level shuffles node statistics once per partition, so the default is
+    one partition per core; raise ``zephyria.training.partitions`` where a
+    partition would outgrow an executor.
     """
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *KEYS, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = spark.conf.get("zephyria.training.partitions", str(spark.sparkContext.defaultParallelism))
+    return df.repartition(int(tasks), *KEYS, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
