@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from zephyria.llm.bpe_stream import round_trip_digests
 from zephyria.llm.common import table
 from zephyria.llm.exact_dedup import duplicate_report
+from zephyria.llm.packing import pack_documents
 from zephyria.llm.quality_rules import quality_rules
 from zephyria.llm.registry import query
 from zephyria.llm.sharding import SHARD_BYTES, shard_report
@@ -42,6 +43,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, BYTE_BPE).drop("text")
 
 
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence and place of every piece of every document."""
+    return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op8_bpe_round_trip")
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip_digests(docs, BYTE_BPE).drop("text")
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and compression bands of every document."""
