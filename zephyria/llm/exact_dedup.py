@@ -45,7 +45,7 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED, frequent: int =
     )
     candidates = (
         # a keyed group, since the merge cannot start from a partition without summaries
-        first.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(summary, {2 * tracked}) AS summary"))
+        first.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(summary, {2 * tracked}) AS summary"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("found"))
         .where(F.col("found.count") >= frequent)
         .select(F.col("found.item").alias("key"))
