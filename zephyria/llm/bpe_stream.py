@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from zephyria.llm.common import boxed, importable_on_workers, text_of, unboxed
 from zephyria.llm.tokenizers_local import PATTERN, byte_level_file
 
-#: Finished words that each of two generations of the memory holds.
+#: Finished words that each of two generations of a memory holds.
 REMEMBERED = 200_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
@@ -266,6 +267,24 @@ class TextStream:
         return out
 
 
+class Memory:
+    """The last finished transductions, in two generations of bounded size."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Texts to ids: remembered words first, the transducer for all else."""
 
@@ -273,8 +292,7 @@ class Encoder:
         self.merges = MergeList(path)
         self.lookahead = self.merges.lookahead
         self.word = WordStream(self.merges, self.lookahead)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     def stream(self, text: str) -> bytes:
         """Ids (little-endian, 4 bytes each) by the transducer, fed in chunks."""
@@ -284,21 +302,22 @@ class Encoder:
         out.append(np.array(machine.finish(), "<u4").tobytes())
         return b"".join(out)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.word.feed(part.encode().decode("latin-1")) + self.word.finish()
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        self.parts.put(part, found)
+        return found
+
     def _word(self, word: str) -> bytes:
         """Ids of a text without inner boundaries."""
-        found = self.old.get(word)
+        found = self.words.get(word)
         if found is None:
             if len(word) > REMEMBERED_CHARS:
                 return self.stream(word)
-            feed, finish = self.word.feed, self.word.finish
-            ids: list[int] = []
-            for part in _WORDS.findall(word):
-                ids += feed(part.encode().decode("latin-1"))
-                ids += finish()
-            found = np.array(ids, "<u4").tobytes()
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
+            known = self.parts.get
+            found = b"".join([known(p) or self._part(p) for p in _WORDS.findall(word)])
+            self.words.put(word, found)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -308,14 +327,14 @@ class Encoder:
             words = _GAP.split(text)
         else:
             words = text.split(" ")
-        young, out = self.young, []
+        young, out = self.words.young, []
         for i, word in enumerate(words):
             if i:
                 word = " " + word
             ids = young.get(word)
             if ids is None:
                 ids = self._word(word)
-                young = self.young
+                young = self.words.young
             out.append(ids)
         return b"".join(out)
 
