@@ -48,7 +48,6 @@ FEED_CHARS = 1 << 14
 _WORDS = regex.compile(PATTERN)
 _RUNS = {k: regex.compile(p) for k, p in {"L": r"\p{L}*+", "N": r"\p{N}*+", "O": r"[^\s\p{L}\p{N}]*+", "S": r"\s*+"}.items()}
 _CLASSES = (("S", regex.compile(r"\s")), ("L", regex.compile(r"\p{L}")), ("N", regex.compile(r"\p{N}")))
-_UNEVEN_SPACE = regex.compile(r"^ | $| \s|\s ")
 _GAP = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -323,21 +322,24 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.merges.specials):
             return self.stream(text)
-        if _UNEVEN_SPACE.search(text):
-            words = _GAP.split(text)
-        else:
-            words = text.split(" ")
+        # a text without uneven spaces is cut fast; remembered words are even
+        words, even = text.split(" "), lambda w: w and not w[0].isspace() and not w[-1].isspace()
         young, out = self.words.young, []
         for i, word in enumerate(words):
-            if i:
-                word = " " + word
+            word = " " + word if i else word
             ids = young.get(word)
             if ids is None:
+                if not even(words[i]):
+                    return self._uneven(text)
                 ids = self._word(word)
                 young = self.words.young
             out.append(ids)
         return b"".join(out)
 
+    def _uneven(self, text: str) -> bytes:
+        first, *others = _GAP.split(text)
+        return b"".join([self._word(first), *[self._word(" " + w) for w in others]])
+
 
 class Decoder:
     """Ids to text: token bytes through an incremental UTF-8 machine."""
