@@ -12,6 +12,7 @@ from zephyria.llm.packing import pack_documents
 from zephyria.llm.quality_rules import quality_rules
 from zephyria.llm.registry import query
 from zephyria.llm.sharding import SHARD_BYTES, shard_report
+from zephyria.llm.suffix_dedup import repeat_report
 from zephyria.llm.token_count import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +90,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 100-byte strings that start earlier."""
+    return repeat_report(table(spark, sf_dir, "documents")).drop("removed")
