@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from zephyria.llm.bpe_stream import round_trip_digests
 from zephyria.llm.common import table
 from zephyria.llm.exact_dedup import duplicate_report
+from zephyria.llm.ngram_join import near_duplicate_report
 from zephyria.llm.packing import pack_documents
 from zephyria.llm.quality_rules import quality_rules
 from zephyria.llm.registry import query
@@ -96,3 +97,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to 100-byte strings that start earlier."""
     return repeat_report(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of linked documents that every document is in."""
+    return near_duplicate_report(table(spark, sf_dir, "documents"))

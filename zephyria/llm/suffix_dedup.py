@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zephyria.llm.common import importable_on_workers, stored, text_of
+from zephyria.llm.common import importable_on_workers, stored, with_keys
+from zephyria.llm.hashing import M1, M2, M3, mixed, prefix_sums, stretch_hash
 from zephyria.llm.repeat_index import RepeatIndex
 
 WIDTH = 100
@@ -42,30 +43,20 @@ PIECE_WINDOWS = 4096
 #: Bytes that one index covers.
 BLOCK_BYTES = 1 << 21
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407))
-_STEP = 0x2545F4914F6CDD1D
-_POWERS = np.cumprod(np.full(HASH_BYTES + 1, _STEP, np.uint64)) * np.uint64(pow(_STEP, -1, 1 << 64))
-_BACK = np.cumprod(np.full(HASH_BYTES + 1, pow(_STEP, -1, 1 << 64), np.uint64)) * np.uint64(_STEP)
-
 PIECES = "route long, content long, doc long, start long, windows long, inner boolean"
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M2
-    return h ^ (h >> np.uint64(29))
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the 24 bytes from each position on."""
-    h = data.astype(np.uint64) * _M1
+    h = data.astype(np.uint64) * M1
     width = 1
-    for m in (_M2, _M3, _M1):
+    for m in (M2, M3, M1):
         n = len(h) - width
         h = h[:n] * m + h[width:]
         width *= 2
     h = mixed(h)
     n = len(h) - 16
-    return mixed((h[:n] * _M3 + h[8 : n + 8]) * _M1 + h[16:])
+    return mixed((h[:n] * M3 + h[8 : n + 8]) * M1 + h[16:])
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -80,15 +71,6 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tails[: n - width + 1], heads[width - 1 : n])
 
 
-def prefix_sums(h: np.ndarray) -> np.ndarray:
-    """Sums that give the hash of any stretch of gram hashes, modulo 2**64."""
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWERS[: len(h)])])
-
-
-def stretch_hash(sums: np.ndarray, start: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return mixed((sums[start + grams] - sums[start]) * _BACK[start] + grams.astype(np.uint64))
-
-
 def pieces_of(data: bytes) -> tuple[np.ndarray, ...]:
     """Pieces of at most HASH_BYTES bytes: route, content hash, start, number of windows, and
     whether the route's string stands in the bytes again, so that windows may repeat inside."""
@@ -114,16 +96,6 @@ def text_parts(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, data[at : at + HASH_BYTES]
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """(row key in order of doc_id, doc_id, text); the key is doc_id where that is sound."""
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids")).first()
-    rows = docs.withColumn("text", text_of())
-    if ids.n == ids.known == ids.ids:
-        return rows.withColumn("doc", F.col("doc_id").cast("long"))
-    ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("doc", F.monotonically_increasing_id())
-    return stored(ordered, "keyed-documents")
-
-
 def routed_pieces(keyed: DataFrame) -> DataFrame:
     """All pieces of all texts, without their bytes."""
 
