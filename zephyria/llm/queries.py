@@ -10,6 +10,7 @@ from zephyria.llm.common import table
 from zephyria.llm.exact_dedup import duplicate_report
 from zephyria.llm.ngram_join import near_duplicate_report
 from zephyria.llm.packing import pack_documents
+from zephyria.llm.quality_cnn import quality_scores
 from zephyria.llm.quality_rules import quality_rules
 from zephyria.llm.registry import query
 from zephyria.llm.sharding import SHARD_BYTES, shard_report
@@ -103,3 +104,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of linked documents that every document is in."""
     return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).drop("text")
