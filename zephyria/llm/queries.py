@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from zephyria.llm.bpe_stream import round_trip_digests
 from zephyria.llm.common import table
 from zephyria.llm.exact_dedup import duplicate_report
+from zephyria.llm.html_extract import extract_main
 from zephyria.llm.ngram_join import near_duplicate_report
 from zephyria.llm.packing import pack_documents
 from zephyria.llm.quality_cnn import quality_scores
@@ -111,3 +112,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_scores(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
