@@ -13,28 +13,50 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
-    """Suffixes in order, each up to its piece's end; equal ones by position."""
+def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes in order, each up to its piece's end; equal ones by position.
+
+    Sorted by their first bytes, then groups that are still equal are sorted by the
+    rank of what follows, over twice the length each time.
+    """
     n = len(text)
     at = np.arange(n)
     left = ends - at
     key = np.zeros(n, np.int64)
-    for step in range(6):
-        inside = left > step
+    for step in range(min(7, n)):
         key <<= 9
-        key[inside] |= text[at[inside] + step].astype(np.int64) + 1
-    width = 6
+        key[: n - step] |= np.where(left[: n - step] > step, text[step:].astype(np.int64) + 1, 0)
+    width = 7
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.concatenate([[1], (ranked[1:] != ranked[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if width >= longest or int(rank[order[-1]]) == n:
-            return np.argsort(rank * n + at)
-        inside = np.flatnonzero(left > width)
-        key = rank * (n + 1)
-        key[inside] += rank[inside + width]
+        first = np.flatnonzero(new)
+        if width == 7:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+            group, slots = rank, at
+        # members of groups that are not yet told apart, and the slots they fill
+        size = np.diff(np.append(first, len(new)))
+        tied = np.repeat(size > 1, size)
+        members, slots = order[slots[tied]], slots[tied]
+        if not len(members):
+            return order
+        group = rank[members]
+        rest = left[members] > width
+        if not rest.any():
+            order[slots] = members[np.lexsort((members, group))]
+            return order
+        follows = np.zeros(len(members), np.int64)
+        follows[rest] = rank[members[rest] + width] + 1
+        # strings that end here come before all others of their group, by position
+        key = group * (2 * n + 1) + np.where(rest, n + follows, members)
+        place = np.argsort(key)
+        members, key = members[place], key[place]
+        order[slots] = members
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        opened = np.flatnonzero(new)
+        rank[members] = np.repeat(slots[opened], np.diff(np.append(opened, len(new))))
         width *= 2
 
 
@@ -65,7 +87,7 @@ class RepeatIndex:
         self.text = np.frombuffer(b"".join(pieces), np.uint8)
         self.starts = np.cumsum(lengths) - lengths
         self.ends = np.repeat(self.starts + lengths, lengths)
-        self.order = suffix_order(self.text, self.ends, int(lengths.max(initial=0)))
+        self.order = suffix_order(self.text, self.ends)
         before = self.text[self.order - 1].astype(np.int16)
         first = np.zeros(len(self.text), bool)
         first[self.starts] = True

@@ -41,7 +41,7 @@ HASH_BYTES = 1 << 21
 #: Windows of one piece at most (a periodic text has one route throughout).
 PIECE_WINDOWS = 4096
 #: Bytes that one index covers.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 PIECES = "route long, content long, doc long, start long, windows long, inner boolean"
 
