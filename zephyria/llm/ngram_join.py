@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zephyria.llm.common import importable_on_workers, stored, with_keys
+from zephyria.llm.common import dropped, importable_on_workers, stored, with_keys
 from zephyria.llm.components import components
 from zephyria.llm.shingles import set_print, shingle_set
 
@@ -319,7 +319,8 @@ def set_links(sets: DataFrame, entries: DataFrame, keyed: DataFrame) -> DataFram
     placed = clusters.join(sizes, "label").select(
         F.col("node").alias("doc"), F.col("label").alias("cluster"), blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("block")
     )
-    texts = stored(keyed.select("doc", "text").join(placed, "doc"), "candidates")
+    # the list of candidates grows with the input, so it is never to be broadcast
+    texts = stored(keyed.select("doc", "text").join(placed.hint("merge"), "doc"), "candidates")
     within = stored(compared_blocks(texts.withColumn("visits", F.lit(None).cast("boolean"))), "links")
     large = texts.where("blocks > 1")
     joined = components(within)
@@ -336,11 +337,12 @@ def linked_documents(keyed: DataFrame) -> DataFrame:
     """(doc, n_shingles, component): the least row key that each row's set is linked with."""
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scanned = stored(packed_shingles(keyed, max(BUCKETS, -(-total // BUCKET_BYTES))), "shingles")
-    rows = scanned.where("kind = 0").select("doc", "n", "print1", "print2")
+    rows = stored(scanned.where("kind = 0").select("doc", "n", "print1", "print2"), "rows")
     heads = scanned.where("kind = 2").select("pack", "body")
     n_sets = heads.select("pack", F.expr("cast(octet_length(body) / 24 AS int)").alias("n_sets"))
     shared = shared_shingles(scanned.where("kind = 1").select("pack", "bucket", "body"), n_sets)
-    entries = index_entries(shared, heads)
+    entries = stored(index_entries(shared, heads), "entries")
+    dropped(scanned)  # about as large as the input, and read for the last time
     sets = stored(rows.where("n > 0").groupBy("print1", "print2").agg(F.min("doc").alias("first")), "sets")
     linked_sets = components(set_links(sets, entries, keyed))
     place = sets.join(linked_sets, F.col("first") == F.col("node"), "left").select("print1", "print2", F.coalesce("label", "first").alias("component"))
