@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -29,10 +30,10 @@ def waves(spark):
 @pytest.fixture
 def few_trees(monkeypatch):
     monkeypatch.setattr(models.config, "FORECAST_TREES", 5)
-    monkeypatch.setattr(models, "FORECAST_DEPTH", 5)
+    monkeypatch.setattr(models, "FORECASTS", {n: replace(s, depth=5) for n, s in models.FORECASTS.items()})
 
 
-SPEC = Forecast("t", "temperature_mean", ("temperature_mean", "humidity", "absent"))
+SPEC = Forecast("t", "temperature_mean", ("temperature_mean", "humidity", "absent"), depth=5)
 
 
 def test_forecast_beats_the_mean(waves, few_trees):
@@ -55,7 +56,7 @@ def test_no_test_row_precedes_a_training_row(waves):
 
 
 def test_rain_forecast_is_never_negative(waves, few_trees):
-    spec = Forecast("r", "rainfall", ("rainfall", "temperature_mean"), floor=0.0)
+    spec = Forecast("r", "rainfall", ("rainfall", "temperature_mean"), floor=0.0, depth=5)
     assert models.run_forecast(waves, spec).agg(F.min("predicted")).collect()[0][0] >= 0
 
 
@@ -77,11 +78,13 @@ def test_holdout_is_stable_under_repartitioning(waves):
 
 
 def test_train_all_survives_a_failing_model(waves, few_trees):
-    """Without air-quality columns the AQI model cannot run; the other still reports."""
+    """Without air-quality columns the AQI model cannot run: its row says so, the other's has figures."""
     daily = waves.withColumns({"season": F.lit("Summer"), "wind_speed": F.lit(1.0), "pressure": F.lit(1000.0)})
     out = models.train_all(daily, only=["forecast_aqi", "forecast_temp_ctx"])
-    assert out.schema.fieldNames() == schemas.METRIC.fieldNames()
-    assert [r["model"] for r in out.collect()] == ["forecast_temp_ctx"]
+    assert out.schema.fieldNames() == [*schemas.METRIC.fieldNames(), "error"]
+    rows = {r["model"]: r for r in out.collect()}
+    assert rows["forecast_temp_ctx"]["error"] is None and rows["forecast_temp_ctx"]["RMSE"] > 0
+    assert rows["forecast_aqi"]["error"] and rows["forecast_aqi"]["RMSE"] is None
 
 
 def test_flat_vector_order(spark):

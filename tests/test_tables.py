@@ -137,8 +137,107 @@ def test_spatial_job_reports(spark, tmp_path):
         for i in range(8)
     ]
     tables.write_table(spark.createDataFrame(rows, schemas.WARD), f"{tmp_path}/raw/ward", fmt="csv")
-    out = jobs.spatial_reports(spark, str(tmp_path))
+    out = {name: jobs.spatial_report(spark, str(tmp_path), name) for name in jobs.SPATIAL_REPORTS}
     assert out["flood_zones"].count() == 8
     assert out["hotspots"].where("is_uhi_hotspot = 1").count() == 2
     clusters = {r["ward"]: r["cluster"] for r in out["clusters"].collect()}
     assert len(clusters) == 8 and set(clusters.values()) == set(range(5))
+
+
+def test_scans_go_by_name(spark, tmp_path):
+    """Another column order, an unknown column, no station, and no declared column at all."""
+    path = str(tmp_path / "air")
+    tables.write_table(spark.createDataFrame([(7.5, "n", 3.0, "2020-01-02")], "aqi double, note string, pm25 double, date string"), path, fmt="csv")
+    row = tables.scan(spark, path, schemas.AIR).collect()[0]
+    assert (row.station_id, row.date, row.aqi, row.pm25, row.o3) == (0, dt.date(2020, 1, 2), 7.5, 3.0, None)
+    land = str(tmp_path / "land")
+    tables.write_table(spark.createDataFrame([(2020, 0.5)], "year int, ndvi double"), land, fmt="csv")
+    assert tables.scan(spark, land, schemas.LAND_USE).collect()[0].region_id == "all"
+    other = str(tmp_path / "other")
+    tables.write_table(spark.createDataFrame([(1,)], "unrelated int"), other, fmt="csv")
+    with pytest.raises(ValueError):
+        tables.scan(spark, other, schemas.AIR)
+
+
+def test_writing_replaces_a_table_and_may_read_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = columns.add_calendar(series(spark, {"x": [1.0] * 800}))
+    tables.write_table(df, path)
+    tables.write_table(spark.read.parquet(path).withColumn("x", F.col("x") + 1), path)
+    assert spark.read.parquet(path).agg(F.sum("x")).collect()[0][0] == 1600
+    files = [f for f in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) <= 3 * tables.FILES_PER_VALUE
+
+
+def weather_rows(spark, n=40):
+    measures = {c: [20.0 + i % 5 for i in range(n)] for c in ("temperature_max", "temperature_min", "temperature_mean", "rainfall", "wind_speed", "humidity", "pressure")}
+    return columns.add_calendar(series(spark, measures), ("year", "month", "day", "doy", "season"))
+
+
+def test_preprocess_touches_nothing_without_both_inputs(spark, tmp_path):
+    root = str(tmp_path)
+    air = series(spark, {c: [30.0] * 40 for c in ("pm25", "pm10", "no2", "so2", "co", "o3", "aqi")})
+    tables.write_table(weather_rows(spark), jobs.raw(root, "meteorological"), fmt="csv")
+    tables.write_table(air, jobs.raw(root, "aqi"), fmt="csv")
+    assert jobs.preprocess(spark, root).count() == 40
+    (tmp_path / "raw" / "aqi").rename(tmp_path / "raw" / "elsewhere")
+    with pytest.raises(FileNotFoundError):
+        jobs.preprocess(spark, root)
+    assert spark.read.parquet(jobs.processed(root, "merged_dataset")).count() == 40
+    assert spark.read.parquet(jobs.processed(root, "aqi_processed")).count() == 40
+
+
+def test_risks_without_air_use_the_defaults(spark, tmp_path):
+    root = str(tmp_path)
+    tables.write_table(weather_rows(spark), jobs.raw(root, "meteorological"), fmt="csv")
+    scored = jobs.risks(spark, root)
+    assert scored.where("health_risk_score is null").count() == 0
+    assert scored.where("health_risk_label <> 'Severe'").count() > 0
+
+
+def test_metrics_documents_of_either_shape(spark, tmp_path):
+    keyed, lines, other = (tmp_path / n for n in ("keyed.json", "lines.json", "other.json"))
+    keyed.write_text('{"m1": {"task": "t", "RMSE": 1.5},\n "m2": {"Accuracy": 0.5, "ConfusionMatrix": [[1, 0], [0, 2]]}}')
+    lines.write_text('{"model": "m1", "task": "t", "RMSE": 1.5}\n{"model": "m2", "Accuracy": 0.5}\n')
+    other.write_text('{"m1": {"something": "else"}}')
+    for path in (keyed, lines):
+        got = {r.model: (r.RMSE, r.Accuracy) for r in read_metrics(spark, str(path)).collect()}
+        assert got == {"m1": (1.5, None), "m2": (None, 0.5)}
+    assert confusion_rows(spark, str(keyed)).count() == 4
+    with pytest.raises(Exception, match="no known metric"):
+        read_metrics(spark, str(other)).collect()
+
+
+def test_labels_of_a_large_vocabulary(spark):
+    df = spark.range(100_000).withColumn("label", F.format_string("label-%06d", F.col("id")))
+    out = columns.encode_labels(df, "label", "code")
+    assert out.where("code <> id").count() == 0 and out.count() == 100_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+    none = columns.encode_labels(spark.createDataFrame([("b",), (None,), ("a",)], "label string"), "label", "code", fill="c")
+    assert sorted(r.code for r in none.collect()) == [0, 1, 2]
+
+
+def test_matrix_of_too_many_labels_is_an_error(spark):
+    df = spark.range(metrics.MOST_CLASSES + 5).select(F.col("id").alias("actual"), F.col("id").alias("predicted"))
+    with pytest.raises(Exception, match="at most"):
+        metrics.confusion_matrix(df).count()
+
+
+def test_all_numeric_measures_are_filled(spark):
+    from zephyria.operators import gaps
+
+    df = series(spark, {"x": [1.0, None, 3.0]}).selectExpr(
+        "*", "cast(x as float) as f", "cast(x as decimal(10, 2)) as d", "cast(x as int) as i"
+    )
+    for out in (gaps.interpolate(df), gaps.fill_nearest(df)):
+        assert all(None not in column(out, c) for c in ("x", "f", "d", "i"))
+
+
+def test_days_of_any_parameter(spark, tmp_path):
+    from zephyria.sources import feeds
+
+    doc = '{"station_id": 1, "properties": {"parameter": {"RH2M": {"20200101": 50.0}, "PS": {"20200102": 100.1}}}}'
+    (tmp_path / "feed.json").write_text(doc)
+    rows = {str(r.date): (r.humidity, r.pressure) for r in feeds.parameter_feed(spark, str(tmp_path / "feed.json")).collect()}
+    assert rows == {"2020-01-01": (50.0, None), "2020-01-02": (None, 100.1)}

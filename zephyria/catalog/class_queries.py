@@ -8,7 +8,7 @@ from zephyria.catalog import sqltext as q
 from zephyria.catalog.column_queries import KEY, obs
 from zephyria.catalog.registry import query
 from zephyria.functions import classes
-from zephyria.operators.columns import add_calendar, add_risk_ordinals, label_codes
+from zephyria.operators.columns import add_calendar, add_risk_ordinals, encode_labels
 from zephyria.plans.daily import label_weather, score_health
 
 
@@ -131,4 +131,4 @@ def risk_ordinals(spark, sf):
 )
 def label_encode(spark, sf):
     days = obs(spark, sf).select(*KEY, classes.rainfall_class(F.col("rainfall")).alias("rain_class"))
-    return days.withColumn("code", label_codes(days, "rain_class"))
+    return encode_labels(days, "rain_class", "code")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zephyria.catalog import landing
+from zephyria import config
+from zephyria.catalog import aggregate_queries, landing, window_queries  # noqa: F401  (their SQL is reused)
 from zephyria.catalog import sqltext as q
 from zephyria.catalog.column_queries import KEY, obs
 from zephyria.catalog.registry import ORACLES, query
 from zephyria.catalog.source_queries import HOURLY_SQL
+from zephyria.functions import classes
 from zephyria.functions.numeric import guard
 from zephyria.plans import daily, ingest, jobs
+from zephyria.session import scratch_path
 from zephyria.sources import feeds, warehouse
+from zephyria.sources.tables import write_table
 
 CLEAN_MET_SQL = q.with_(*q.CLEANED) + "select * from cm"
 MERGED_SQL = q.with_(*q.MERGE_CHAIN) + "select * from merged"
@@ -68,12 +72,56 @@ def risk_job(spark, sf):
     return scored.select(*KEY, *risk_columns, "health_risk_score", "health_risk_label")
 
 
-@query("seasonal_job", ORACLES.get("seasonal_stats"))
+@query(
+    "risk_job_no_air",
+    q.with_(q.OBS, *q.scored("obs", "sc", "station_id, date", a="80e0", pm="40e0")) + "select * from sc",
+)
+def risk_job_no_air(spark, sf):
+    """No air table exists anywhere, so the scores use the defaults of its columns."""
+    root = scratch_path(spark, "project")
+    write_table(landing.full_weather(spark, sf), jobs.raw(root, "meteorological"), fmt="csv")
+    scored = jobs.risks(spark, root)
+    risk_columns = [c for c in scored.columns if c.startswith("risk_")]
+    return scored.select(*KEY, *risk_columns, "health_risk_score", "health_risk_label")
+
+
+#: report -> the query with its SQL, its key columns, its value columns
+_REPORTS = {
+    "seasonal_stats": ("seasonal_stats", ("season", "variable"), ("mean", "std", "min", "max", "median")),
+    "monthly_climatology": ("monthly_climatology", ("month",), config.MONTHLY_COLUMNS),
+    "annual_trend": (
+        "annual_trend",
+        ("year",),
+        (*config.TREND_COLUMNS, *[f"{c}_trend_slope" for c in config.TREND_COLUMNS]),
+    ),
+    "flood_risk_seasonal": ("flood_crosstab", ("season",), ("Low", "Medium", "High")),
+    "aqi_seasonal_trend": ("aqi_month_trend", ("year", "month"), ("aqi",)),
+    "dengue_risk_seasonal": ("dengue_crosstab", ("season",), ("Low", "Medium", "High")),
+}
+
+
+def _long_sql(report: str, name: str, keys, values) -> str:
+    cells = ", ".join(f"{{'metric': '{v}', 'value': cast(\"{v}\" as double)}}" for v in values)
+    key = ", ".join(f"cast({k} as varchar)" for k in keys)
+    return f"""select '{report}' as report, concat_ws('/', {key}) as item, u.metric as metric, u.value as value
+ from (select *, unnest([{cells}]) as u from ({ORACLES[name]}) r)"""
+
+
+@query("seasonal_job", " union all ".join(_long_sql(r, *spec) for r, spec in _REPORTS.items()))
 def seasonal_job(spark, sf):
-    """The statistics report of the job, over a stored table that includes air quality."""
-    root = landing.raw_area(spark, sf)
-    warehouse.add_calendar(obs(spark, sf)).write.parquet(jobs.processed(root, "merged_dataset"))
-    return jobs.seasonal(spark, root)["seasonal_stats"]
+    """All six reports of the job in long form, over a stored table that includes air quality."""
+    root = scratch_path(spark, "project")
+    days = daily.label_weather(warehouse.add_calendar(obs(spark, sf)))
+    risk = classes.dengue_risk(F.col("temperature_mean"), F.col("rainfall"), F.col("humidity"))
+    write_table(days.withColumn("dengue_risk", risk), jobs.processed(root, "merged_dataset"))
+    reports = jobs.seasonal(spark, root)
+    out = None
+    for report, (_, keys, values) in _REPORTS.items():
+        cells = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
+        item = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+        long = reports[report].select(F.lit(report).alias("report"), item.alias("item"), F.inline(cells))
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 _FILLED_DAILY = """fd as (select station_id, date, temperature_max, temperature_min, temperature_mean, rainfall,
@@ -141,7 +189,14 @@ def assemble_aqi(spark, sf):
     return ingest.assemble_air(hourly, history).select(*KEY, *_OBSERVED)
 
 
-@query("spatial_job", ORACLES.get("uhi_hotspots"))
+@query(
+    "spatial_job",
+    f"""select h.*, f.flood_risk, f.annual_rainfall from ({ORACLES['uhi_hotspots']}) h
+ left join ({ORACLES['first_high_ward']}) f using (ward)""",
+)
 def spatial_job(spark, sf):
-    """The hot-spot report of the job; clusters and flood zones have their own queries."""
-    return jobs.spatial_reports(spark, landing.raw_area(spark, sf))["hotspots"]
+    """Hot spots and flood zones of the job, by ward; clusters have their own queries."""
+    root = scratch_path(spark, "project")
+    write_table(landing.full_wards(spark, sf), jobs.raw(root, "ward"), fmt="csv")
+    zones = jobs.spatial_report(spark, root, "flood_zones").select("ward", "flood_risk", "annual_rainfall")
+    return jobs.spatial_report(spark, root, "hotspots").join(zones, "ward", "left")

@@ -12,54 +12,61 @@ from zephyria.operators import joins
 from zephyria.sources import warehouse
 
 _MET_ONLY = "station_id, date, temperature_mean, rainfall"
+#: The joined side is moved by this many days, so that either side has days the other lacks.
+_SHIFT = 7
+_MOVED = f"moved as (select * replace (cast(date + {_SHIFT} as date) as date) from obs)"
+
+
+def moved(days):
+    return days.withColumn("date", F.date_add("date", _SHIFT))
 
 
 @query(
     "join_met_left",
-    q.with_(q.OBS)
-    + """select station_id, date, temperature_mean, rainfall, coalesce(humidity, 65e0) as humidity,
- case when humidity is null then 1010e0 else pressure end as pressure, case when humidity is not null then so2 end as solar from obs""",
+    q.with_(q.OBS, _MOVED)
+    + """select station_id, date, o.temperature_mean, o.rainfall, coalesce(m.humidity, 65e0) as humidity,
+ coalesce(m.pressure, 1010e0) as pressure, m.so2 as solar from obs o left join moved m using (station_id, date)""",
 )
 def join_met_left(spark, sf):
-    """Days without humidity are missing from the radiation table altogether."""
+    """The radiation table starts a week later, so either side has days of its own."""
     days = obs(spark, sf)
-    radiation = days.where(F.col("humidity").isNotNull()).select(*KEY, "humidity", "pressure", F.col("so2").alias("solar"))
+    radiation = moved(days).select(*KEY, "humidity", "pressure", F.col("so2").alias("solar"))
     return joins.join_radiation(days.select(*_MET_ONLY.split(", ")), radiation)
 
 
 _JOINED = f"""select m.*, a.aqi, a.pm25, a.pm10, a.humidity as humidity_aqi
  from (select {_MET_ONLY}, humidity, year, month, season from daily) m
- join (select station_id, date, aqi, pm25, pm10, o3 as humidity from obs where aqi > 51) a using (station_id, date)"""
+ join (select station_id, date, aqi, pm25, pm10, o3 as humidity from moved) a using (station_id, date)"""
 
 
-@query("join_met_aqi", q.with_(q.OBS, q.DAILY) + _JOINED)
+@query("join_met_aqi", q.with_(q.OBS, q.DAILY, _MOVED) + _JOINED)
 def join_met_aqi(spark, sf):
     """Both sides carry a humidity column; the air side's is suffixed."""
     days = obs(spark, sf)
     weather = warehouse.add_calendar(days.select(*_MET_ONLY.split(", "), "humidity"), ("year", "month", "season"))
-    air = warehouse.add_calendar(days.where(F.col("aqi") > 51), ("year", "month", "season"))
+    air = warehouse.add_calendar(moved(days), ("year", "month", "season"))
     return joins.join_weather_air(
         weather, air.select(*joins.MERGE_KEYS, "aqi", "pm25", "pm10", F.col("o3").alias("humidity"))
     )
 
 
-@query("join_on_demand", q.with_(q.OBS, q.DAILY) + _JOINED)
+@query("join_on_demand", q.with_(q.OBS, q.DAILY, _MOVED) + _JOINED)
 def join_on_demand(spark, sf):
     """The air table has neither year, month nor season: they are derived first."""
     days = obs(spark, sf)
     weather = warehouse.add_calendar(days.select(*_MET_ONLY.split(", "), "humidity"), ("year", "month", "season"))
-    air = days.where(F.col("aqi") > 51).select(*KEY, "aqi", "pm25", "pm10", F.col("o3").alias("humidity"))
+    air = moved(days).select(*KEY, "aqi", "pm25", "pm10", F.col("o3").alias("humidity"))
     return joins.join_weather_air(weather, air)
 
 
 @query(
     "join_aqi_left",
-    q.with_(q.OBS)
-    + f"""select {_MET_ONLY}, case when aqi > 51 then aqi end as aqi, case when aqi > 51 then pm25 end as pm25 from obs""",
+    q.with_(q.OBS, _MOVED)
+    + "select station_id, date, o.temperature_mean, o.rainfall, m.aqi, m.pm25 from obs o left join moved m using (station_id, date)",
 )
 def join_aqi_left(spark, sf):
     days = obs(spark, sf)
-    return joins.attach_air(days.select(*_MET_ONLY.split(", ")), days.where(F.col("aqi") > 51))
+    return joins.attach_air(days.select(*_MET_ONLY.split(", ")), moved(days))
 
 
 @query(

@@ -12,7 +12,7 @@ from zephyria.functions.numeric import guard
 from zephyria.operators.ordering import date_spine
 from zephyria.session import scratch_path
 from zephyria.sources import feeds, schemas, warehouse
-from zephyria.sources.metrics_store import read_metrics, write_metrics
+from zephyria.sources.metrics_store import read_metrics, read_stored, write_metrics
 from zephyria.sources.tables import scan, scan_first, scan_wards, write_table
 
 _WEATHER_SQL = (
@@ -24,8 +24,10 @@ _WEATHER_SQL = (
 
 @query("scan_csv", _WEATHER_SQL)
 def scan_csv(spark, sf):
-    path = landing.land_csv(spark, landing.full_weather(spark, sf), "weather-csv")
-    return scan(spark, path, schemas.WEATHER)
+    """The file has its columns in another order than the table, and one that the table has not."""
+    weather = landing.full_weather(spark, sf)
+    stored = weather.select(*sorted(weather.columns, reverse=True), F.lit("x").alias("note"))
+    return scan(spark, landing.land_csv(spark, stored, "weather-csv"), schemas.WEATHER)
 
 
 @query("scan_fallback", with_(OBS) + f"select station_id, date, {', '.join(AIR)} from obs")
@@ -42,7 +44,10 @@ def scan_fallback(spark, sf):
     + "select year, ward, lat, lon, avg_temp, annual_rainfall, avg_aqi, ndvi, buildup_pct, flood_risk from ward",
 )
 def scan_ward(spark, sf):
-    path = landing.land_csv(spark, landing.full_wards(spark, sf), "ward-csv")
+    """Ward files have the population last, and need not have every label."""
+    wards = landing.full_wards(spark, sf)
+    stored = wards.select(*[c for c in wards.columns if c not in ("population_den", "dengue_risk")], "population_den")
+    path = landing.land_csv(spark, stored, "ward-csv")
     return scan_wards(spark, path).drop("population_den", "health_risk", "dengue_risk")
 
 
@@ -100,21 +105,21 @@ def metrics_table(spark, sf):
 @query(
     "write_table",
     with_(OBS, f"d as (select station_id, date, aqi, {CALENDAR} from obs)")
-    + "select station_id, date, aqi, season, year from d where year between 1997 and 1999",
+    + "select station_id, date, aqi, season, year from d",
 )
 def write_table_query(spark, sf):
-    """Written by year, then read with a year filter that prunes the folders."""
+    """Written by year and read back whole."""
     path = scratch_path(spark, "daily-table")
     daily = warehouse.add_calendar(warehouse.obs_daily(spark, sf).select("station_id", "date", "aqi"))
     write_table(daily.select("station_id", "date", "aqi", "season", "year"), path)
-    return spark.read.parquet(path).where(F.col("year").between(1997, 1999))
+    return spark.read.parquet(path).select("station_id", "date", "aqi", "season", "year")
 
 
 @query("write_metrics", METRIC_ROWS_SQL.replace("select model, task,", "select model,"))
 def write_metrics_query(spark, sf):
     path = scratch_path(spark, "metrics-sink")
     write_metrics(baseline_metrics(spark, sf), path)
-    return spark.read.schema(schemas.METRIC).json(path).select("model", *schemas.NUMERIC_METRICS)
+    return read_stored(spark, path).select("model", *schemas.NUMERIC_METRICS)
 
 
 @query(

@@ -15,24 +15,25 @@ from zephyria.streaming import live
 
 @query(
     "stream_daily_mean",
-    f"""select station_id, pollutant, date, value from (
- select user_id as station_id, event_type as pollutant, cast(ts as date) as date, {q.r('avg(value)', 6)} as value from events group by 1, 2, 3) z
- where cast(date + 1 as timestamp) <= (select max(ts) - interval 1 day from events)""",
+    f"""select user_id as station_id, event_type as pollutant, cast(ts as date) as date, {q.r('avg(value)', 6)} as value
+ from events group by 1, 2, 3""",
 )
 def stream_daily_mean(spark, sf):
-    """Days still open behind the one-day watermark are not emitted yet."""
+    """Days behind the watermark from the stream; those still open are closed when it ends."""
     events = warehouse.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
-    readings = stream.select(
+    readings = [
         F.col("user_id").alias("station_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("pollutant"),
         "value",
-    )
-    daily = live.stream_daily_mean(readings, ["value"], by=("station_id", "pollutant"))
+    ]
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet").select(*readings)
+    by = ("station_id", "pollutant")
+    daily = live.stream_daily_mean(stream, ["value"], by=by)
     path = scratch_path(spark, "stream-daily")
     live.run_available(daily, path, scratch_path(spark, "stream-daily-progress"))
-    return spark.read.schema(daily.schema).parquet(path)
+    emitted = spark.read.schema(daily.schema).parquet(path)
+    return live.close_open_days(emitted, events.select(*readings), ["value"], by)
 
 
 @query("stream_health_risk", q.with_(q.OBS, *q.scored("obs", "sc", _HEALTH_KEEP)) + "select * from sc")

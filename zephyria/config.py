@@ -10,7 +10,9 @@ from __future__ import annotations
 # --- series identity -------------------------------------------------------
 STATION = "station_id"
 DATE = "date"
-DEFAULT_STATION = "all"
+#: key of the rows of a stored table that names no station or region
+DEFAULT_STATION = 0
+DEFAULT_REGION = "all"
 
 # --- seasons ---------------------------------------------------------------
 SEASON_MONTHS = {

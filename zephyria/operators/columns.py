@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date as Date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ def double_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
 
 
+def measures_as_double(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every numeric column but keys and calendar parts as DOUBLE, so that all are cleaned alike."""
+    fixed = {*keep, "station_id", "region_id", *calendar_columns()}
+    measures = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in fixed]
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in measures if c not in double_columns(df)})
+
+
 def fill_constants(df: DataFrame, values: Mapping[str, float] = config.FEED_DEFAULTS) -> DataFrame:
     return df.fillna({c: v for c, v in values.items() if c in df.columns})
 
@@ -92,14 +99,17 @@ def health_inputs(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def label_codes(df: DataFrame, column: str, fill: str | None = None) -> Column:
-    """Position of the label among the table's distinct labels, sorted, from 0.
+def encode_labels(df: DataFrame, column: str, target: str, fill: str | None = None) -> DataFrame:
+    """Add the position of the label among the table's distinct labels, sorted, from 0.
 
-    Only the set of distinct labels travels (it is merged map-side first).
+    The distinct labels (merged map-side first) are numbered in one spillable sort and
+    joined back, so neither a buffer nor a row ever holds the whole vocabulary.
     """
     label = F.col(column) if fill is None else F.coalesce(F.col(column), F.lit(fill))
-    vocabulary = df.agg(F.array_sort(F.collect_set(label)).alias("labels")).scalar()
-    return (F.array_position(vocabulary, label) - 1).cast("int")
+    labels = df.select(label.alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    codes = labels.withColumn("_code", (F.row_number().over(Window.orderBy("_label")) - 1).cast("int"))
+    joined = df.withColumn("_own", label).join(codes, F.col("_own") == F.col("_label"), "left")
+    return joined.withColumn(target, F.col("_code")).drop("_own", "_label", "_code")
 
 
 def fill_absent_features(df: DataFrame) -> DataFrame:
@@ -123,8 +133,10 @@ def fill_absent_features(df: DataFrame) -> DataFrame:
         target = f"{base}_ordinal"
         if target in have:
             continue
-        is_label = base in have and isinstance(df.schema[base].dataType, T.StringType)
-        added[target] = label_codes(df, base, fill="Low") if is_label else F.lit(0)
+        if base in have and isinstance(df.schema[base].dataType, T.StringType):
+            df = encode_labels(df, base, target, fill="Low")
+        else:
+            added[target] = F.lit(0)
     return df.withColumns(added)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zephyria import config
 from zephyria.functions.numeric import guard
-from zephyria.operators.columns import double_columns, existing
+from zephyria.operators.columns import double_columns, existing, measures_as_double
 from zephyria.operators.series import KEYS, ORDER, backward, forward, so_far, whole
 
 
@@ -21,6 +21,8 @@ def fill_nearest(
     df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS, order: str = ORDER
 ) -> DataFrame:
     """Carry the last value forward, then the first value back over a leading gap."""
+    if cols is None:
+        df = measures_as_double(df)
     cols = double_columns(df) if cols is None else existing(df, cols)
     ahead, behind = forward(keys, order), backward(keys, order)
     return df.withColumns(
@@ -43,6 +45,8 @@ def interpolate(
     ``backward_first`` only swaps the passes, to reuse the incoming sort order
     and to leave the rows in date order for the windows that follow.
     """
+    if cols is None:
+        df = measures_as_double(df)
     cols = double_columns(df) if cols is None else existing(df, cols)
     if not cols:
         return df

@@ -17,6 +17,8 @@ from zephyria.operators.scaling import standardise
 
 STARTS = 10
 PARALLEL_STARTS = 5
+#: Lloyd rounds of one start at most; it ends earlier when the centres rest.
+ITERATIONS = 300
 
 
 def ward_profiles(wards: DataFrame, cols: Sequence[str] = config.WARD_FEATURES) -> DataFrame:
@@ -25,7 +27,7 @@ def ward_profiles(wards: DataFrame, cols: Sequence[str] = config.WARD_FEATURES)
     return means(wards, cols, ["ward"]).fillna(0.0, subset=cols)
 
 
-def assign_clusters(profiles: DataFrame, k: int = 5, seed: int = config.SEED, starts: int = STARTS) -> DataFrame:
+def assign_clusters(profiles: DataFrame, k: int = 5, seed: int = config.SEED, starts: int = STARTS, iterations: int = ITERATIONS) -> DataFrame:
     """(ward, cluster) of the cheapest of ``starts`` seeded k-means runs."""
     cols = existing(profiles, config.WARD_FEATURES)
     scaled = standardise(profiles, cols)
@@ -34,7 +36,7 @@ def assign_clusters(profiles: DataFrame, k: int = 5, seed: int = config.SEED, st
     try:
         # the starts are independent Spark jobs: submit a few at a time
         with ThreadPool(PARALLEL_STARTS) as pool:
-            fits = pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=100).fit(points), range(starts))
+            fits = pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations).fit(points), range(starts))
     finally:
         points.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)

@@ -11,7 +11,7 @@ from zephyria.operators import aggregates, spatial
 from zephyria.operators.joins import attach_air
 from zephyria.plans import clustering, daily
 from zephyria.sources import schemas
-from zephyria.sources.tables import scan, scan_first, write_table
+from zephyria.sources.tables import find, scan, scan_first, write_table
 
 
 def processed(root: str, name: str) -> str:
@@ -30,10 +30,14 @@ def preprocess(spark: SparkSession, root: str) -> DataFrame:
     """Raw weather and air to cleaned and merged tables.
 
     The merge reads the two cleaned tables back, so cleaning runs once and a
-    lost executor only repeats the step it was in.
+    lost executor only repeats the step it was in. Nothing is written unless both
+    inputs are there and have rows.
     """
-    weather = scan(spark, raw(root, "meteorological"), schemas.WEATHER)
-    air = scan(spark, raw(root, "aqi"), schemas.AIR)
+    inputs = {n: find(spark, raw(root, n), s) for n, s in (("meteorological", schemas.WEATHER), ("aqi", schemas.AIR))}
+    missing = [n for n, df in inputs.items() if df is None or df.isEmpty()]
+    if missing:
+        raise FileNotFoundError(f"no raw rows of {' and '.join(missing)} below {root}; stored tables are left as they are")
+    weather, air = inputs.values()
     write_table(daily.clean_weather(weather), processed(root, "met_processed"))
     write_table(daily.clean_air(air), processed(root, "aqi_processed"), partition_by=())
     merged = daily.merge_daily(
@@ -64,12 +68,16 @@ def best_daily(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def risks(spark: SparkSession, root: str) -> DataFrame | None:
-    """Score the best daily table, attaching raw air quality where it has none."""
+    """Score the best daily table, attaching raw air quality where it has none.
+
+    Without any air table the column stays absent, so the scores use its default.
+    """
     table = best_daily(spark, root)
     if table is None:
         return None
     if "aqi" not in table.columns:
-        table = attach_air(table, scan(spark, raw(root, "aqi"), schemas.AIR))
+        air = find(spark, raw(root, "aqi"), schemas.AIR)
+        table = table if air is None else attach_air(table, air)
     write_table(daily.score_health(table), processed(root, "health_risks"))
     return _stored(spark, processed(root, "health_risks"))
 
@@ -98,10 +106,13 @@ def seasonal(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: report(table) for name, (needs, report) in SEASONAL_REPORTS.items() if have.issuperset(needs)}
 
 
-def spatial_reports(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    wards = scan(spark, raw(root, "ward"), schemas.WARD)
-    return {
-        "clusters": clustering.cluster_wards(wards),
-        "hotspots": spatial.heat_hotspots(wards),
-        "flood_zones": spatial.flood_prone_wards(wards),
-    }
+# report -> operator; nothing is fitted or read until a report is asked for
+SPATIAL_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "clusters": clustering.cluster_wards,
+    "hotspots": spatial.heat_hotspots,
+    "flood_zones": spatial.flood_prone_wards,
+}
+
+
+def spatial_report(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return SPATIAL_REPORTS[name](scan(spark, raw(root, "ward"), schemas.WARD))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -14,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyria import config
 from zephyria.functions.numeric import clip
@@ -38,6 +40,7 @@ class Forecast:
     features: tuple[str, ...]
     test_on_validation: bool = False  # test on everything after the training part
     floor: float | None = None
+    depth: int = 10  # Spark grows trees of up to 30 levels, at a shuffle of node statistics for each
 
 
 @dataclass(frozen=True)
@@ -99,10 +102,10 @@ CLASSIFIERS = {
     ),
 }
 LEARNING_RATE = 0.1
-FORECAST_DEPTH = 10  # the trees are depth-limited; Spark allows at most 30
+FITS_AT_ONCE = 4
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """Training rows spread evenly over the whole cluster and kept for all passes.
 
     Tree growing reads its input once per level and costs far more CPU than its
@@ -114,13 +117,15 @@ def _spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     tasks = spark.conf.get("zephyria.training.partitions", str(spark.sparkContext.defaultParallelism))
-    return df.repartition(int(tasks), *KEYS, ORDER).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.repartition(int(tasks), *(keys or (*KEYS, ORDER))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
     """Scaled sequences labelled by split, and the scaling range of the features."""
     features = existing(df, spec.features)
-    rows = df.select(*KEYS, ORDER, *features).na.drop(subset=features)
+    narrow = df.select(*KEYS, ORDER, *features).na.drop(subset=features)
+    # dealt by station while narrow: the sequences and the fit then stay in this layout
+    rows = _spread(narrow, *KEYS)
     bounds = ranges(rows, features)
     scaled = minmax(rows, features, bounds)
     windows = temporal_split(sequences(scaled, features, spec.target))
@@ -131,10 +136,10 @@ def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
 def run_forecast(df: DataFrame, spec: Forecast, seed: int = config.SEED) -> DataFrame:
     """(station, date, actual, predicted) of the test rows, in original units."""
     rows, bounds = forecast_rows(df, spec)
-    train = _spread(rows.where(F.col("split") == "train"))
+    train = rows.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
     test = rows.where(F.col("split") != "train" if spec.test_on_validation else F.col("split") == "test")
     forest = RandomForestRegressor(
-        numTrees=config.FORECAST_TREES, maxDepth=FORECAST_DEPTH, featureSubsetStrategy="all", seed=seed
+        numTrees=config.FORECAST_TREES, maxDepth=spec.depth, featureSubsetStrategy="all", seed=seed
     )
     try:
         model = forest.fit(train)
@@ -150,12 +155,15 @@ def run_forecast(df: DataFrame, spec: Forecast, seed: int = config.SEED) -> Data
 
 
 def is_holdout(keys: Sequence[str] = (*KEYS, ORDER), percent: int = config.HOLDOUT_PERCENT, seed: int = config.SEED):
-    """A row's place in the hold-out depends on its key only.
+    """A row's place in the hold-out depends on its key only: the first 32 bits of the
+    key's MD5, modulo 100.
 
     Unlike a random split this does not change with the partitioning, so a
     recomputed partition can never leak test rows into training.
     """
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(100)) < percent
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return bits % 100 < percent
 
 
 def run_classifier(df: DataFrame, spec: Classification, seed: int = config.SEED) -> DataFrame:
@@ -166,6 +174,7 @@ def run_classifier(df: DataFrame, spec: Classification, seed: int = config.SEED)
     )
     points = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     points = points.select(*KEYS, ORDER, "label", "features", is_holdout().alias("held"))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = _spread(points.where(~F.col("held"))), points.where("held")
     try:
         model = _fit(train, spec, seed)
@@ -203,15 +212,17 @@ def forecast_metrics(predictions: DataFrame, model: str, spec: Forecast) -> Data
 
 
 def classifier_metrics(predictions: DataFrame, model: str, spec: Classification) -> DataFrame:
+    predictions = predictions.persist(StorageLevel.MEMORY_AND_DISK)  # read by the scores and by the matrix
     scored = metrics.classification_metrics(predictions)
     matrix = metrics.matrix_array(predictions).scalar()
     return _metric_row(scored.withColumn("ConfusionMatrix", matrix), model, spec.task)
 
 
 def train_all(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """One metrics row per model; a model that fails is logged and left out.
+    """One metrics row per model, with ``error`` where a fit failed.
 
-    The feature table is persisted once (spilling to disk) for all the fits.
+    The feature table is persisted once (spilling to disk) for all the fits, of which
+    a few run at a time: each is a long series of short jobs.
     """
     spark: SparkSession = df.sparkSession
     table = fill_absent_features(df).persist(StorageLevel.MEMORY_AND_DISK)
@@ -221,18 +232,24 @@ def train_all(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
         name: lambda n=name, s=spec: classifier_metrics(run_classifier(table, s), n, s)
         for name, spec in CLASSIFIERS.items()
     }
-    done = []
+    tasks = {n: s.task for n, s in {**FORECASTS, **CLASSIFIERS}.items()}
+
+    def attempt(name: str) -> list[tuple]:
+        try:
+            return [(*row, None) for row in jobs[name]().collect()]  # one row of figures per model
+        except Exception as err:  # one failing model must not stop the others, and must not go unseen
+            log.exception("model %s failed", name)
+            empty = [None] * (len(schemas.METRIC.fields) - 2)
+            return [(name, tasks[name], *empty, f"{type(err).__name__}: {err}"[:500])]
+
     try:
-        for name, job in jobs.items():
-            if only is not None and name not in only:
-                continue
-            try:
-                done += job().collect()  # one row of figures per model
-            except Exception:  # one failing model must not stop the others
-                log.exception("model %s failed", name)
+        table.count()  # filled once, before several fits want it
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            done = pool.map(attempt, [n for n in jobs if only is None or n in only], chunksize=1)
     finally:
         table.unpersist()
-    return spark.createDataFrame(done, schemas.METRIC)
+    schema = T.StructType([*schemas.METRIC.fields, T.StructField("error", T.StringType())])
+    return spark.createDataFrame([row for rows in done for row in rows], schema)
 
 
 def forecast_compare(predictions: DataFrame, rows: int = 30) -> DataFrame:

@@ -40,13 +40,14 @@ def hourly_feed(spark: SparkSession, path: str) -> DataFrame:
 def parameter_feed(spark: SparkSession, path: str) -> DataFrame:
     """One row per station and day from ``parameter.{name}.{yyyymmdd: value}``.
 
-    The days of the first parameter (humidity) define the rows. Looking the
-    other maps up by that day keeps this in the scan stage: no pivot shuffle.
+    Every day that any of the parameters has is a row. Looking the maps up by day
+    keeps this in the scan stage: no pivot shuffle.
     """
     raw = spark.read.schema(schemas.PARAMETER_FEED).json(path)
     names = list(schemas.PARAMETER_FEED_FIELDS)
     maps = raw.select("station_id", *[F.col("properties.parameter")[n].alias(n) for n in names])
-    days = maps.select("station_id", F.explode(F.map_keys(names[0])).alias("day"), *names)
+    keys = [F.coalesce(F.map_keys(n), F.array().cast("array<string>")) for n in names]
+    days = maps.select("station_id", F.explode(F.array_distinct(F.concat(*keys))).alias("day"), *names)
     return days.select(
         "station_id",
         F.to_date("day", "yyyyMMdd").alias("date"),

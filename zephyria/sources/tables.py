@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zephyria import config
 from zephyria.functions.numeric import no_nan
+from zephyria.session import sibling_path
 from zephyria.sources import schemas
 
+#: What a file without the column has in it; other absent columns are NULL.
+KEY_DEFAULTS = {"station_id": config.DEFAULT_STATION, "region_id": config.DEFAULT_REGION}
+#: Files that a partition value is spread over at most when a table is written.
+FILES_PER_VALUE = 8
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Every floating column with NaN as NULL: one rule for "missing" downstream."""
@@ -19,22 +26,54 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[no_nan(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
 
 
+def by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns in declared order; absent keys get their default, others NULL."""
+    have = set(df.columns)
+    if not have.intersection(schema.fieldNames()):
+        raise ValueError(f"none of the declared columns is among {sorted(have)}")
+    return df.select(
+        *[
+            (F.col(f"`{f.name}`") if f.name in have else F.lit(KEY_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
 def _open(spark: SparkSession, path: str, schema: T.StructType | None, fmt: str) -> DataFrame | None:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
+    """A stored table, or None where the path is absent.
+
+    A CSV file is read by the names in its header, whatever their order; the header
+    is the only thing read twice.
+    """
     try:
-        return reader.format(fmt).load(path)
+        if fmt != "csv":
+            return (spark.read if schema is None else spark.read.schema(schema)).format(fmt).load(path)
+        reader = spark.read.option("header", True)
+        header = reader.csv(path).columns
+        if schema is None:
+            return reader.csv(path)
+        declared = {f.name: f for f in schema.fields}
+        stored = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
+        return by_name(reader.option("enforceSchema", False).schema(stored).csv(path), schema)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """Read a stored table; an absent path is an empty table of the same schema."""
+def find(spark: SparkSession, path: str, schema: T.StructType | None, fmt: str = "csv") -> DataFrame | None:
+    """A stored table, or None where there is none."""
     df = _open(spark, path, schema, fmt)
-    return nan_to_null(spark.createDataFrame([], schema) if df is None else df)
+    return None if df is None else nan_to_null(df)
+
+
+def scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Read a stored table for a report; an absent path is an empty table of the same schema.
+
+    A job that writes must use ``find`` and decide what an absent input means.
+    """
+    df = find(spark, path, schema, fmt)
+    return spark.createDataFrame([], schema) if df is None else df
 
 
 def scan_first(
@@ -42,9 +81,9 @@ def scan_first(
 ) -> DataFrame | None:
     """The first candidate path that exists, in order; None when none does."""
     for path, schema in candidates:
-        df = _open(spark, path, schema, fmt)
+        df = find(spark, path, schema, fmt)
         if df is not None:
-            return nan_to_null(df)
+            return df
     return None
 
 
@@ -55,10 +94,22 @@ def scan_wards(spark: SparkSession, path: str) -> DataFrame:
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = ("year",), fmt: str = "parquet"
 ) -> None:
-    """Overwrite ``path``. Parquet is laid out by year so year filters prune files."""
-    writer = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer.option("header", True).save(path)
-        return
-    keys = [c for c in partition_by if c in df.columns]
-    (writer.partitionBy(*keys) if keys else writer).save(path)
+    """Overwrite ``path``. Parquet is laid out by year so year filters prune files.
+
+    Rows of a year are gathered first (in a bounded number of parts, so that a large
+    year stays spread), or every task would leave a file for every year. The new table
+    is complete beside the old one before it takes its place.
+    """
+    keys = [] if fmt == "csv" else [c for c in partition_by if c in df.columns]
+    if keys:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_VALUE))
+        df = df.withColumn("_part", part).repartition(*keys, "_part").drop("_part")
+    spark, fresh = df.sparkSession, sibling_path(path)
+    writer = df.write.format(fmt)
+    writer = writer.option("header", True) if fmt == "csv" else writer
+    (writer.partitionBy(*keys) if keys else writer).save(fresh)
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old):
+        raise OSError(f"{fresh} is complete but could not take the place of {path}")

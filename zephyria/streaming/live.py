@@ -26,6 +26,21 @@ def stream_daily_mean(
     )
 
 
+def close_open_days(
+    emitted: DataFrame, readings: DataFrame, values: Sequence[str], by: Sequence[str] = KEYS, ts: str = "ts"
+) -> DataFrame:
+    """The emitted days, and the days that were still open when the source ended.
+
+    A stream emits a day once the watermark has passed it, for all keys alike; so what
+    is open at the end are the days after the last emitted one. A batch pass over
+    those (a time range, which prunes the stored readings) closes them.
+    """
+    last = emitted.agg(F.max("date").alias("last")).scalar()
+    open_rows = readings.where(last.isNull() | (F.to_date(ts) > last))
+    days = open_rows.groupBy(*by, F.to_date(ts).alias("date")).agg(*[mean_of(v).alias(v) for v in values])
+    return emitted.unionByName(days.select(*emitted.columns))
+
+
 def stream_health_risk(days: DataFrame) -> DataFrame:
     """The batch scorer, unchanged: it is a stateless projection."""
     return score_health(days)
