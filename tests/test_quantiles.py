@@ -2,7 +2,9 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from zephyria.operators.quantiles import quantiles
+from pyspark.sql import functions as F
+
+from zephyria.operators.quantiles import brackets, quantiles
 
 PROBS = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
 groups = st.dictionaries(
@@ -13,10 +15,10 @@ groups = st.dictionaries(
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(groups, st.sampled_from([2, 1024]))
-def test_quantiles_match_numpy(spark, data, bins):
+@given(groups, st.sampled_from([1000, 10_000]))
+def test_quantiles_match_numpy(spark, data, accuracy):
     rows = [(k, float(v)) for k, vs in data.items() for v in vs]
-    got = {r["k"]: r for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", PROBS, ["k"], bins).collect()}
+    got = {r["k"]: r for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", PROBS, ["k"], accuracy).collect()}
     assert set(got) == set(data)
     for k, vs in data.items():
         for name, p in PROBS.items():
@@ -35,3 +37,20 @@ def test_one_value_holding_a_third_and_missing_values(spark):
 def test_constant_group(spark):
     df = spark.createDataFrame([(5.0,)] * 4, "v double")
     assert quantiles(df, "v", PROBS).collect()[0].asDict() == {k: 5.0 for k in PROBS}
+
+
+def test_heavy_tails_and_outliers_do_not_widen_a_bracket(spark):
+    """What is ordered in one task stays a small share of the rows, whatever the values."""
+    rng, n, accuracy = np.random.default_rng(2), 40_000, 100
+    columns = {
+        "lognormal": np.exp(rng.normal(0, 6, n)),
+        "outlier": np.append(rng.normal(20, 5, n - 1), 1e12),
+        "flat": rng.uniform(0, 1, n),
+    }
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in columns.items() for v in vs], "k string, v double").cache()
+    got = {r["k"]: r for r in quantiles(rows, "v", PROBS, ["k"], accuracy).collect()}
+    for k, vs in columns.items():
+        for name, p in PROBS.items():
+            assert np.isclose(got[k][name], np.quantile(vs, p), rtol=1e-9)
+    sizes = brackets(rows, "v", PROBS, ["k"], accuracy, False).groupBy("k", "_i").agg(F.sum("_n").alias("n"))
+    assert sizes.agg(F.max("n")).collect()[0][0] <= 7 * n / accuracy

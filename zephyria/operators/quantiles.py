@@ -1,9 +1,10 @@
 """Exact interpolated quantiles without holding a group in one task.
 
 Spark's own exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here the values are counted first (merging equal values
-map-side), a fixed number of equal-width bins per group finds where the wanted
-ranks fall, and only the values of those bins are ordered.
+aggregation buffer. Here a mergeable sketch brackets each wanted rank in one pass, the
+rows below the bracket are counted, and only the values inside it are ordered. The
+sketch's error is relative to ranks, not to values, so outliers and heavy tails do not
+widen a bracket; the result is exact.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: Ranks from the sketch are off by at most 1 / ACCURACY of a group's rows.
+ACCURACY = 10_000
 
 
 def quantiles(
@@ -21,74 +23,78 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
-    bins: int = BINS,
+    accuracy: int = ACCURACY,
     few_groups: bool = False,
 ) -> DataFrame:
     """One row per key with ``{name: quantile}``; ranks interpolate linearly.
 
     Without ``keys`` the result is one row for the table. Missing values are
-    ignored, and a group without values has no row.
+    ignored, and a group without values has no row. A bracket holds at most four
+    rows in ``accuracy`` (ties aside, which are counted, not kept), or a group of
+    fewer than ``4 * accuracy`` rows.
 
     ``few_groups`` is the caller's statement that the number of groups is fixed
     (such as seasons times variables). Only then are the per-group figures
     broadcast, which spares the counts a second shuffle on those hot keys.
     """
-    small = F.broadcast if few_groups else (lambda side: side)
-    group = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    limits = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")]
-    if group:
-        spanned = counts.join(small(counts.groupBy(*group).agg(*limits)), group)
-    else:
-        row = counts.agg(F.struct(*limits)).scalar()
-        spanned = counts.withColumn("_row", row).select("*", "_row.*").drop("_row")
-    place = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bin_of = F.least(F.coalesce(F.floor(place * bins), F.lit(0)), F.lit(bins - 1))
-    binned = spanned.withColumn("_bin", bin_of).drop("_lo", "_hi")
-
-    histogram = binned.groupBy(*group, "_total", "_bin").agg(F.sum("_n").alias("_in_bin"))
-    by_bin = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bin")  # at most `bins` rows per group
-    running = histogram.withColumn(
-        "_before", F.sum("_in_bin").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in_bin")
-    )
-
-    def rank(p: float, edge) -> Column:
-        return edge(F.lit(float(p)) * (F.col("_total") - 1))
-
-    def holds(before: Column, n: Column, r: Column) -> Column:
-        return (r >= before) & (r < before + n)
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for edge in (F.floor, F.ceil):
-            wanted = wanted | holds(F.col("_before"), F.col("_in_bin"), rank(p, edge))
-    hit = running.where(wanted).select(*group, "_bin", "_before")
+    ordered = brackets(df, value, probs, keys, accuracy, few_groups)
+    group = [*keys, "_i", "_total"]
+    rank = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_i") + 1) * (F.col("_total") - 1)
 
-    # the bins that hold a wanted rank: about 2 * len(probs) of `bins` per group
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v")
-    ordered = binned.join(small(hit), [*group, "_bin"]).withColumn(
-        "_start",
-        F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
-    )
+    def at(edge) -> Column:
+        r = edge(rank)
+        return F.max(F.when((r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")), F.col("_v")))
 
-    def at(p: float, edge) -> Column:
-        return F.max(F.when(holds(F.col("_start"), F.col("_n"), rank(p, edge)), F.col("_v")))
+    ends = ordered.groupBy(*group).agg(at(F.floor).alias("_a"), at(F.ceil).alias("_b"))
+    lost = F.raise_error(F.lit("a wanted rank lies outside its bracket"))
+    a, b = (F.when(F.col(c).isNotNull(), F.col(c)).otherwise(lost.cast("double")) for c in ("_a", "_b"))
+    found = ends.select(*keys, "_i", (a + (b - a) * (rank - F.floor(rank))).alias("_q"))
+    picked = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)]
+    rows = found.groupBy(*keys).agg(*picked)
+    return rows if keys else rows.where(F.coalesce(*probs).isNotNull())
 
-    picked = {}
-    for i, p in enumerate(probs.values()):
-        picked[f"_a{i}"], picked[f"_b{i}"] = at(p, F.floor), at(p, F.ceil)
-    edges = ordered.groupBy(*group, "_total").agg(*[c.alias(n) for n, c in picked.items()])
 
-    def between(i: int, p: float) -> Column:
-        exact = F.lit(float(p)) * (F.col("_total") - 1)
-        part = exact - F.floor(exact)
-        return F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part
+def brackets(
+    df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str], accuracy: int, few_groups: bool
+) -> DataFrame:
+    """Distinct values inside each bracket with their count and first rank.
 
-    return edges.select(*keys, *[between(i, p).alias(n) for i, (n, p) in enumerate(probs.items())])
+    (keys, _i: place of the probability, _total, _v, _n, _start).
+    """
+    group = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    edges = [min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
+    figures = rows.groupBy(*group).agg(
+        F.count("*").alias("_total"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
+    )
+    small = F.col("_total") < 4 * accuracy
+    spans = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("_i"),
+                F.when(small, F.col("_lo")).otherwise(F.col("_edges")[2 * i]).alias("_from"),
+                F.when(small, F.col("_hi")).otherwise(F.col("_edges")[2 * i + 1]).alias("_to"),
+            )
+            for i in range(len(probs))
+        ]
+    )
+    figures = figures.select(*group, "_total", spans.alias("_spans"))
+    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
+    if group:
+        spanned = counts.join(F.broadcast(figures) if few_groups else figures, group)
+    else:
+        row = figures.select(F.struct("_total", "_spans")).scalar()
+        spanned = counts.withColumn("_row", row).select("_v", "_n", "_row.*")
+    placed = spanned.select(*group, "_total", "_v", "_n", F.inline("_spans"))
+    below = placed.groupBy(*group, "_i").agg(F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_n")).otherwise(0)).alias("_below"))
+    inside = placed.where((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))).drop("_from", "_to")
+    running = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # without keys there are as many figures as probabilities
+    joined = inside.join(F.broadcast(below) if few_groups or not group else below, [*group, "_i"])
+    return joined.withColumn("_start", F.col("_below") + F.sum("_n").over(running) - F.col("_n")).drop("_below")
 
 
 def approximate_quantiles(
