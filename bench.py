@@ -42,6 +42,11 @@ HEADLINE = (
     "regression_metrics",
     "classification_metrics",
     "write_table",
+    "risk_job",
+    "seasonal_job",
+    "json_hourly_arrays",
+    "stream_daily_mean",
+    "kmeans_wards",
 )
 
 
