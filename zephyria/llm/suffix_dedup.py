@@ -43,7 +43,10 @@ PIECE_WINDOWS = 4096
 #: Bytes that one index covers.
 BLOCK_BYTES = 1 << 20
 
-PIECES = "route long, content long, doc long, start long, windows long, inner boolean"
+#: Pieces among which a task tells equal ones before it hands them on.
+TOGETHER = 400_000
+
+PIECES = "route long, content long, doc long, start long, windows long, inner boolean, copy boolean"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -97,26 +100,36 @@ def text_parts(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def routed_pieces(keyed: DataFrame) -> DataFrame:
-    """All pieces of all texts, without their bytes."""
+    """All pieces of all texts, without their bytes.
+
+    A piece that equals an earlier one of the same task is a ``copy``, whatever else
+    there is. It needs no other piece, so it gets a route of its own; of a passage in
+    very many documents, only one piece a task goes the common way.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            found, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for at, part in text_parts(text.as_py().encode()):
                     route, content, start, windows, inner = pieces_of(part)
                     found.append((route, content, np.full(len(route), doc), start + at, windows, inner))
                     size += len(route)
-                if size > 100_000:
+                if size > TOGETHER:
                     yield rows_of(found)
                     found, size = [], 0
-            if found:
-                yield rows_of(found)
+        if found:
+            yield rows_of(found)
 
     def rows_of(found: list) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*found)]
-        columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "content", "doc", "start", "windows", "inner"])
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        route, content, doc, start, windows, inner = (c[order] for c in columns)
+        copy = np.zeros(len(route), bool)
+        copy[1:] = (route[1:] == route[:-1]) & (content[1:] == content[:-1])
+        route = np.where(copy, mixed(doc.astype(np.uint64) * M1 + start.astype(np.uint64)), route)
+        arrays = [route.view(np.int64), content.view(np.int64), doc, start, windows, inner, copy]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["route", "content", "doc", "start", "windows", "inner", "copy"])
 
     return keyed.select("doc", "text").mapInArrow(cut, PIECES)
 
@@ -127,8 +140,8 @@ def repeated_pieces(pieces: DataFrame) -> DataFrame:
     return (
         pieces.withColumn("place", F.row_number().over(by_content))
         .withColumn("n", F.count(F.lit(1)).over(by_route))
-        .where("n > 1 or inner")
-        .select("route", "doc", "start", "windows", (F.col("place") == 1).alias("first"))
+        .where("n > 1 or inner or copy")
+        .select("route", "doc", "start", "windows", (~F.col("copy") & (F.col("place") == 1)).alias("first"))
     )
 
 
