@@ -105,3 +105,19 @@ def test_clusters_cover_all_wards_and_beat_single_starts(spark):
     for r in out:
         planted.setdefault(int(r["ward"][1:]) % 5, set()).add(r["cluster"])
     assert all(len(v) == 1 for v in planted.values())
+
+
+def test_training_job_stores_its_metrics(spark, waves, few_trees, tmp_path):
+    """No features are stored, so the merged table is used; the model that fails is not stored."""
+    from zephyria.plans import jobs
+    from zephyria.sources.metrics_store import read_metrics
+
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        jobs.train(spark, root)
+    daily = waves.withColumns({"season": F.lit("Summer"), "wind_speed": F.lit(1.0), "pressure": F.lit(1000.0)})
+    daily.write.parquet(jobs.processed(root, "merged_dataset"))
+    out = {r["model"]: r["error"] for r in jobs.train(spark, root, ["forecast_aqi", "forecast_temp_ctx"]).collect()}
+    assert out["forecast_temp_ctx"] is None and out["forecast_aqi"]
+    stored = read_metrics(spark, f"{root}/models/metrics").collect()
+    assert [r["model"] for r in stored] == ["forecast_temp_ctx"] and stored[0]["RMSE"] > 0

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from zephyria.operators import aggregates, spatial
 from zephyria.operators.joins import attach_air
-from zephyria.plans import clustering, daily
+from zephyria.plans import clustering, daily, models
 from zephyria.sources import schemas
+from zephyria.sources.metrics_store import write_metrics
 from zephyria.sources.tables import find, scan, scan_first, write_table
 
 
@@ -82,6 +83,20 @@ def risks(spark: SparkSession, root: str) -> DataFrame | None:
     return _stored(spark, processed(root, "health_risks"))
 
 
+def train(spark: SparkSession, root: str, only: Sequence[str] | None = None) -> DataFrame:
+    """Train on the stored features, or on the merged table where there are none.
+
+    Figures of the models that could be fitted are stored as one keyed document; the
+    result also has a row for each that failed, with its error.
+    """
+    table = scan_first(spark, [(processed(root, n), None) for n in ("features_dataset", "merged_dataset")], fmt="parquet")
+    if table is None:
+        raise FileNotFoundError(f"neither features nor a merged table below {root}")
+    trained = models.train_all(table, only)
+    write_metrics(trained.where("error is null").drop("error"), f"{root}/models/metrics")
+    return trained
+
+
 # report -> (columns it needs, operator)
 SEASONAL_REPORTS: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = {
     "seasonal_stats": (("season",), aggregates.seasonal_stats),
