@@ -42,8 +42,9 @@ from zephyria.llm.shingles import set_print, shingle_set
 
 #: Similarity in percent.
 PERCENT = 80
-#: Shingles that a task packs before it hands blocks on.
+#: Shingles, and sets, that a task packs before it hands blocks on.
 PACK_SHINGLES = 1 << 20
+PACK_SETS = 1 << 16
 #: Bytes of text for each bucket of shingles, and the fewest buckets.
 BUCKET_BYTES = 1 << 23
 BUCKETS = 64
@@ -73,6 +74,22 @@ def matches_wanted(cost: float | np.ndarray, prefix: int | np.ndarray):
 # ------------------------------------------------------------------ shingles to index
 
 
+def body_of(owner: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Six bytes for each shingle: how far its set is from the last one's, and its 32 bits.
+
+    Nothing is stored for sets without a shingle in the bucket, so many small buckets
+    cost no more than few large ones.
+    """
+    return np.diff(owner, prepend=0).astype("<u2").tobytes() + tokens.astype("<u4").tobytes()
+
+
+def parts_of(body: bytes, width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Sets, shingles and what follows them, of a body with ``width`` bytes a shingle."""
+    n = len(body) // width
+    owner = np.cumsum(np.frombuffer(body, "<u2", n).astype(np.int64))
+    return owner, np.frombuffer(body, "<u4", n, 2 * n), body[6 * n :]
+
+
 def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
     """Kind 0: each row's set; kind 1: packed shingles by bucket; kind 2: the sets of a pack."""
 
@@ -89,7 +106,7 @@ def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
                 if len(shingles) and prints not in held:
                     held[prints] = shingles
                     size += len(shingles)
-                if size >= PACK_SHINGLES:
+                if size >= PACK_SHINGLES or len(held) >= PACK_SETS:
                     yield packed(held, part << 32 | packs)
                     held, size, packs = {}, 0, packs + 1
             if docs:
@@ -114,8 +131,7 @@ def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rows = []
         for a, b in zip(first, np.append(first[1:], len(bucket))):
-            counts = np.bincount(owner[a:b], minlength=len(held)).astype("<u4")
-            rows.append((1, int(bucket[a]), pack, counts.tobytes() + short[a:b].astype("<u4").tobytes()))
+            rows.append((1, int(bucket[a]), pack, body_of(owner[a:b], short[a:b])))
         head = np.array([[len(s), *p] for p, s in held.items()], "<i8")
         rows.append((2, None, pack, head.tobytes()))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
@@ -124,28 +140,22 @@ def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
     return keyed.select("doc", "text").mapInArrow(scan, PASS)
 
 
-def shared_shingles(packs: DataFrame, sets_in: DataFrame) -> DataFrame:
+def shared_shingles(packs: DataFrame) -> DataFrame:
     """The packed shingles of each bucket that occur in more than one set, with their weight."""
 
     def count(table: pa.Table) -> pa.Table:
-        sizes = dict(zip(table.column("pack").to_pylist(), table.column("n_sets").to_pylist()))
-        bodies = [np.frombuffer(b, "<u4") for b in table.column("body").to_pylist()]
-        packs = table.column("pack").to_pylist()
-        tokens = np.concatenate([b[sizes[p] :] for p, b in zip(packs, bodies)])
-        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        bodies = [parts_of(b, 6)[:2] for b in table.column("body").to_pylist()]
+        _, inverse, counts = np.unique(np.concatenate([t for _, t in bodies]), return_inverse=True, return_counts=True)
         found, out, at = counts[inverse], [], 0
-        for p, b in zip(packs, bodies):
-            n = len(b) - sizes[p]
-            df = found[at : at + n]
-            at += n
+        for owner, tokens in bodies:
+            df = found[at : at + len(tokens)]
+            at += len(tokens)
             again = df > 1
-            owner = np.repeat(np.arange(sizes[p]), b[: sizes[p]])
-            own = np.bincount(owner[again], minlength=sizes[p]).astype("<u4")
             weight = np.minimum(255, np.log2(df[again]) * 8).astype(np.uint8)
-            out.append(own.tobytes() + b[sizes[p] :][again].tobytes() + weight.tobytes())
+            out.append(body_of(owner[again], tokens[again]) + weight.tobytes())
         return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "body": pa.array(out, pa.binary())})
 
-    return packs.join(sets_in, "pack").groupBy("bucket").applyInArrow(count, PACKED)
+    return packs.groupBy("bucket").applyInArrow(count, PACKED)
 
 
 def index_entries(shared: DataFrame, heads: DataFrame) -> DataFrame:
@@ -158,11 +168,10 @@ def index_entries(shared: DataFrame, heads: DataFrame) -> DataFrame:
         for bucket, body in rows:
             if bucket is None:
                 continue
-            own = np.frombuffer(body[: 4 * m], "<u4")
-            n = int(own.sum())
-            owners.append(np.repeat(np.arange(m), own))
-            tokens.append(np.frombuffer(body[4 * m : 4 * (m + n)], "<u4").astype(np.int64) | bucket << 32)
-            weights.append(np.frombuffer(body[4 * (m + n) :], np.uint8))
+            own, short, weight = parts_of(body, 7)
+            owners.append(own)
+            tokens.append(short.astype(np.int64) | bucket << 32)
+            weights.append(np.frombuffer(weight, np.uint8))
         owner, token, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, tokens, weights))
         n, k = head[:, 0], np.bincount(owner, minlength=m)
         reach = k - overlap_needed(n) + 1  # shared shingles in the shortest prefix
@@ -339,8 +348,7 @@ def linked_documents(keyed: DataFrame) -> DataFrame:
     scanned = stored(packed_shingles(keyed, max(BUCKETS, -(-total // BUCKET_BYTES))), "shingles")
     rows = stored(scanned.where("kind = 0").select("doc", "n", "print1", "print2"), "rows")
     heads = scanned.where("kind = 2").select("pack", "body")
-    n_sets = heads.select("pack", F.expr("cast(octet_length(body) / 24 AS int)").alias("n_sets"))
-    shared = shared_shingles(scanned.where("kind = 1").select("pack", "bucket", "body"), n_sets)
+    shared = shared_shingles(scanned.where("kind = 1").select("pack", "bucket", "body"))
     entries = stored(index_entries(shared, heads), "entries")
     dropped(scanned)  # about as large as the input, and read for the last time
     sets = stored(rows.where("n > 0").groupBy("print1", "print2").agg(F.min("doc").alias("first")), "sets")
