@@ -300,15 +300,17 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the covered bytes cut out of ``text``; ``n_chars``, if there, is renewed."""
     importable_on_workers(docs.sparkSession)
-    inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = with_keys(inner)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    # the text travels once; the rest of the row says whether there was one
+    row = F.struct(*others, F.col("text").isNotNull().alias("text")).alias("row")
+    keyed = with_keys(docs.select("doc_id", "text", row))
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
             yield pa.array([kept_bytes(t.as_py().encode(), merged_spans(s.as_py())).decode("utf-8", "ignore") for t, s in zip(texts, spans)], pa.string())
 
     joined = keyed.join(repeat_spans(keyed), "doc", "left")
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(F.arrow_udf(cut, "string")("text", "spans"))
+    text = F.when(~F.col("row.text"), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(F.arrow_udf(cut, "string")("text", "spans"))
     out = joined.select("row", text.alias("text"))
     new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
