@@ -54,6 +54,24 @@ def test_shared_counts_and_links():
     assert (ngram_join.linked(sets) == ((100 * want >= 80 * (n[:, None] + n[None, :] - want)) & off)).all()
 
 
+def one_last_word_apart(words, n):
+    """Texts that differ only in their last word, and one without it."""
+    base = " ".join("b%d" % i for i in range(words - 1))
+    return [(0, base), *((i, f"{base} x{i}") for i in range(1, n))]
+
+
+@pytest.mark.parametrize("words, n", [(9, 41), (13, 600), (14, 1000)])
+def test_short_texts_of_a_large_group_keep_their_links(spark, words, n):
+    rows = one_last_word_apart(words, n)
+    sets = [ngram_join.shingle_set(t) for _, t in rows]
+    size = np.array([len(s) for s in sets])
+    both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets[:40]] for a in sets[:40]])
+    want = 100 * both >= 80 * (size[:40, None] + size[None, :40] - both)
+    assert (ngram_join.linked(sets)[:40, :40] == (want & ~np.eye(40, dtype=bool))).all()
+    got = ngram_join.near_duplicate_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.linked(rows)
+
+
 def test_near_ids_null_and_repeated(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (7, None), (8, "z")], SCHEMA)

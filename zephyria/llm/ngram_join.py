@@ -66,9 +66,13 @@ def overlap_needed(n: int | np.ndarray):
     return -(-PERCENT * n // 100)
 
 
-def matches_wanted(cost: float | np.ndarray, prefix: int | np.ndarray):
-    """l: one, and one more for each doubling of the candidates per prefix shingle."""
-    return 1 + np.log2(1 + cost / np.maximum(prefix, 1)).astype(np.int64)
+def matches_wanted(cost: float | np.ndarray, n: int | np.ndarray):
+    """l of a set of n: one, and one more for each doubling of the candidates per prefix shingle.
+
+    Never more than a linked pair is sure to share, or short sets would lose their links.
+    """
+    needed = overlap_needed(n)
+    return np.minimum(1 + np.log2(1 + cost / np.maximum(n - needed + 1, 1)).astype(np.int64), needed)
 
 
 # ------------------------------------------------------------------ shingles to index
@@ -181,7 +185,7 @@ def index_entries(shared: DataFrame, heads: DataFrame) -> DataFrame:
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         base = place < reach[owner]
         cost = np.bincount(owner[base], 2.0 ** (weight[base] / 8) - 1, m)
-        matches = matches_wanted(cost, n - overlap_needed(n) + 1)
+        matches = matches_wanted(cost, n)
         used = place < (reach + matches - 1)[owner]
         owner, token = owner[used], token[used]
         return pa.table({"print1": head[owner, 1], "print2": head[owner, 2], "token": token, "matches": matches[owner].astype(np.int32)})
@@ -231,7 +235,7 @@ def prefixes(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         at += len(s)
         order = np.argsort(df, kind="stable")
         base = len(s) - overlap_needed(len(s)) + 1
-        wanted = int(matches_wanted(float(df[order[:base]].sum() - base), base))
+        wanted = int(matches_wanted(float(df[order[:base]].sum() - base), len(s)))
         out.append(s[order[: base + wanted - 1]])
         matches.append(wanted)
     return out, np.array(matches)
