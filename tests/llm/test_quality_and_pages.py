@@ -115,6 +115,22 @@ def test_blocks():
     assert html_parse.blocks("") == [] and html_parse.blocks("<!-- open") == [] and html_parse.blocks("<script>x") == []
 
 
+def test_formulas_and_elements_without_an_end():
+    texts = lambda page: [b.text for b in html_parse.blocks(page)]
+    page = "<p>so <math><mrow><mi>x</mi><mo>=</mo></mrow><mn>2</mn><annotation>x=2</annotation></math> holds</p><p>b</p>"
+    assert texts(page) == ["so x=2 holds", "b"]
+    assert [b.path for b in html_parse.blocks(page)] == [(("p",),), (("p",),)]
+    for tag in sorted(html_parse.QUIET):
+        assert texts(f"<article><p>a</p><{tag} class=k><p>b</p><p>c</p></article>") == ["a", "b", "c"]
+        assert texts(f"<div>a<{tag}>b</div><p>c</p><{tag}></{tag}><p>d</p>") == ["ab", "c", "d"]
+        assert texts(f"<p>a</{tag}>b</p><p>c<{tag}/>d</p>") == ["ab", "cd"]
+        if tag != "math":
+            assert texts(f"<p>a <{tag}><b>no</b><{tag}>no</{tag}><i>no</{tag}>b</p><p>c</p>") == ["a b", "c"]
+            assert texts(f"<div>a <{tag}>no</div><p>c</p></{tag}>d") == ["a", "c", "d"]
+    assert texts("<p>a<svg><script>'</svg>'</script>no</svg>b</p>") == ["ab"]
+    assert texts("<p>a</p><script>b<p>c</p>") == ["a"]
+
+
 def test_labeller_gradients():
     rng, net = np.random.default_rng(1), block_lstm.BlockLSTM(seed=2)
     page = html_parse.blocks(f"<nav>menu</nav><article><h1>t</h1><p>{STORY}</article><footer>end</footer>")

@@ -1,4 +1,10 @@
-"""Blocks of text in an HTML page, each with the path of elements above it."""
+"""Blocks of text in an HTML page, each with the path of elements above it.
+
+Text of scripts, styles and iframes is left out, to the end of the page where one is not
+closed. So is what stands inside ``HIDDEN`` elements (drawings, templates, fallbacks of
+media) up to their end; one without an end hides nothing. Formulas belong to the text
+around them, without their ``annotation`` in other notations.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +26,10 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements of HTML with no content, with raw content, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg iframe object math canvas video audio".split())
+RAW = frozenset("script style iframe".split())
+#: Elements whose content a page does not show as text, and those that end no line whatever they contain.
+HIDDEN = frozenset("template svg object canvas video audio annotation annotation-xml".split())
+QUIET = frozenset("template svg object canvas video audio math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -43,33 +52,64 @@ def element(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *dict.fromkeys(words))
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def closed(page: str) -> set[int]:
+    """Where the start tags of quiet elements end that have an end tag."""
+    found: set[int] = set()
+    begun: dict[str, list[int]] = {tag: [] for tag in QUIET}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if m["end"]:
+            if begun.get(tag):
+                found.add(begun[tag].pop())
+        elif tag and not m["attrs"].endswith("/"):
+            if tag in RAW:
+                at = raw_end(page, tag, at)
+            elif tag in QUIET:
+                begun[tag].append(at)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks in page order. Character references are decoded, white space is one space."""
     stack: list[tuple[str, ...]] = []
     out: list[Block] = []
     held: list[str] = []
     linked = 0
+    quiet: int | None = None  # place of the outermost quiet element in the stack
+    ended: set[int] | None = None
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                path = tuple(e for e in stack if e[0] not in INLINE)
+                path = tuple(e for e in stack[:quiet] if e[0] not in INLINE)
                 out.append(Block(path, text, linked))
             held.clear()
         linked = 0
 
     def close(tag: str, scopes: frozenset = frozenset()) -> None:
+        nonlocal quiet
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 del stack[i:]
+                if quiet is not None and i <= quiet:
+                    quiet = None
                 return
             if stack[i][0] in scopes:
                 return
 
     def add(text: str) -> None:
         nonlocal linked
+        if quiet is not None and any(e[0] in HIDDEN for e in stack[quiet:]):
+            return
         text = html.unescape(text) if "&" in text else text
         held.append(text)
         if stack and any(e[0] == "a" for e in stack):
@@ -86,9 +126,22 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in RAW:
             if not m["end"] and not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = raw_end(page, tag, at)
             continue
+        if tag in QUIET or quiet is not None:
+            if not m["end"]:
+                if not m["attrs"].endswith("/") and tag not in VOID:
+                    if quiet is None:
+                        ended = closed(page) if ended is None else ended
+                        if at not in ended:
+                            continue
+                        quiet = len(stack)
+                    stack.append(element(tag, m["attrs"]))
+                continue
+            within = quiet is None or any(e[0] == tag for e in stack[quiet:])
+            if within or all(e[0] != tag for e in stack):
+                close(tag)
+                continue
         if tag == "br" or tag not in INLINE:
             flush()
         if m["end"]:
