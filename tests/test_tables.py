@@ -208,6 +208,17 @@ def test_metrics_documents_of_either_shape(spark, tmp_path):
         read_metrics(spark, str(other)).collect()
 
 
+def test_labels_are_numbered_in_ranges(spark):
+    labels = [f"same prefix {i % 3000:x}" for i in range(6000)] + ["", "é", None]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    out = columns.encode_labels(df, "label", "code")
+    code = {x: i for i, x in enumerate(sorted({x.encode() for x in labels if x is not None}))}
+    got = out.collect()
+    assert len(got) == len(labels) and all(r.code == (None if r.label is None else code[r.label.encode()]) for r in got)
+    windows = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number" in line]
+    assert windows and all("_range" in line for line in windows)
+
+
 def test_labels_of_a_large_vocabulary(spark):
     df = spark.range(100_000).withColumn("label", F.format_string("label-%06d", F.col("id")))
     out = columns.encode_labels(df, "label", "code")

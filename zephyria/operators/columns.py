@@ -99,15 +99,25 @@ def health_inputs(df: DataFrame) -> dict[str, Column]:
     return out
 
 
+#: Ranges that distinct labels are numbered in.
+LABEL_RANGES = 256
+
+
 def encode_labels(df: DataFrame, column: str, target: str, fill: str | None = None) -> DataFrame:
     """Add the position of the label among the table's distinct labels, sorted, from 0.
 
-    The distinct labels (merged map-side first) are numbered in one spillable sort and
-    joined back, so neither a buffer nor a row ever holds the whole vocabulary.
+    The distinct labels (merged map-side first) are dealt to ranges between the labels of
+    least hash, numbered in each and joined back, so no buffer, row or task ever holds the
+    whole vocabulary.
     """
     label = F.col(column) if fill is None else F.coalesce(F.col(column), F.lit(fill))
     labels = df.select(label.alias("_label")).where(F.col("_label").isNotNull()).distinct()
-    codes = labels.withColumn("_code", (F.row_number().over(Window.orderBy("_label")) - 1).cast("int"))
+    edges = labels.orderBy(F.xxhash64("_label"), "_label").limit(LABEL_RANGES - 1).agg(F.sort_array(F.collect_list("_label"))).scalar()
+    ranged = labels.withColumn("_edges", edges).select("_label", F.size(F.filter("_edges", lambda e: e <= F.col("_label"))).alias("_range"))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("_range", "n"))).scalar()
+    before = F.aggregate(F.filter("_sizes", lambda s: s["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_label")) - 1
+    codes = ranged.withColumn("_sizes", sizes).select("_label", (place + before).cast("int").alias("_code"))
     joined = df.withColumn("_own", label).join(codes, F.col("_own") == F.col("_label"), "left")
     return joined.withColumn(target, F.col("_code")).drop("_own", "_label", "_code")
 
