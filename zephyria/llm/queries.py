@@ -9,6 +9,8 @@ from zephyria.llm.bpe_stream import round_trip_digests
 from zephyria.llm.common import table
 from zephyria.llm.exact_dedup import duplicate_report
 from zephyria.llm.html_extract import extract_main
+from zephyria.llm.merkle import merkle_manifest
+from zephyria.llm.merkle_sql import MANIFEST_SQL
 from zephyria.llm.ngram_join import near_duplicate_report
 from zephyria.llm.packing import pack_documents
 from zephyria.llm.quality_cnn import quality_scores
@@ -118,3 +120,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf, roots and proof of every document, checked against tampering."""
+    return merkle_manifest(table(spark, sf_dir, "documents"))
