@@ -18,9 +18,11 @@ from zephyria.llm.quality_rules import quality_rules
 from zephyria.llm.registry import query
 from zephyria.llm.sharding import SHARD_BYTES, shard_report
 from zephyria.llm.suffix_dedup import repeat_report
+from zephyria.llm.token_align import cross_alignment
 from zephyria.llm.token_count import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query(
@@ -126,3 +128,9 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaf, roots and proof of every document, checked against tampering."""
     return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give every document."""
+    return cross_alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)

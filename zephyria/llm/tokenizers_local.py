@@ -110,6 +110,33 @@ def id_encoder(path: str) -> Callable[[str], np.ndarray]:
     return encode
 
 
+def plain_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Text to token ids as ``id_encoder`` gives them, but with special strings as plain text."""
+    from tokenizers import Tokenizer
+
+    spec = byte_level_file(path)
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    own.no_truncation()
+    own.no_padding()
+
+    def by_library(text: str) -> np.ndarray:
+        return np.asarray(own.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not spec.regular:
+        return by_library
+    import tiktoken
+
+    core = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=spec.ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        parts = safe_parts(text) if len(text) > PART_CHARS else [text]
+        ids = [by_library(p) if len(p) > LONGEST_RUN else core.encode_to_numpy(p, disallowed_special=()) for p in parts]
+        return (ids[0] if len(ids) == 1 else np.concatenate(ids)).astype(np.uint32, copy=False)
+
+    return encode
+
+
 def part_counter(path: str) -> Callable[[Sequence[str]], list[int]]:
     """Parts of texts to their numbers of tokens, by the library of the file."""
     if path.endswith(".model"):
