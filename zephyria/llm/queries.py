@@ -20,6 +20,7 @@ from zephyria.llm.sharding import SHARD_BYTES, shard_report
 from zephyria.llm.suffix_dedup import repeat_report
 from zephyria.llm.token_align import cross_alignment
 from zephyria.llm.token_count import token_counts
+from zephyria.llm.vector_near import near_vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -134,3 +135,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens that two tokenizers give every document."""
     return cross_alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+@query("op12_embedding_near_dedup")
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors with a cosine of 0.95 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
