@@ -178,7 +178,9 @@ def merkle_manifest(
 
     The proof is folded from the leaf as tampered with, and the siblings as they were.
     """
-    rows = placed(leaves(docs, columns, group, order).withColumnRenamed("leaf", "digest"), ["doc_id", "digest", "seen"])
+    # written before they are sorted: sampling for the sort would read and hash all texts once more
+    digests = stored(leaves(docs, columns, group, order).withColumnRenamed("leaf", "digest"), "digests")
+    rows = placed(digests, ["doc_id", "digest", "seen"])
     paths = with_paths(stored(rows, "leaves"), over_groups(levels), levels)
     folded = F.aggregate("path", F.col("seen"), lambda node, step: F.sha2(F.concat(step["before"], node, step["after"]), 256))
     proof = F.sha2(F.array_join(F.transform("path", lambda step: F.concat(step["before"], step["after"])), ""), 256)
