@@ -45,7 +45,7 @@ def test_forecast_beats_the_mean(waves, few_trees):
 
 
 def test_no_test_row_precedes_a_training_row(waves):
-    rows, _ = models.forecast_rows(waves, SPEC)
+    rows = models.forecast_rows(waves, SPEC).where("split is not null")
     edges = rows.groupBy("station_id").agg(
         F.max(F.when(F.col("split") == "train", F.col("date"))).alias("last_train"),
         F.min(F.when(F.col("split") == "test", F.col("date"))).alias("first_test"),
@@ -87,6 +87,17 @@ def test_train_all_survives_a_failing_model(waves, few_trees):
     assert rows["forecast_aqi"]["error"] and rows["forecast_aqi"]["RMSE"] is None
 
 
+def test_all_seven_models_fit(spark, monkeypatch):
+    """Every model of the catalogue on the small tables, with fewer trees of full depth."""
+    from zephyria.catalog.model_queries import features
+
+    monkeypatch.setattr(models.config, "FORECAST_TREES", 2)
+    monkeypatch.setattr(models, "CLASSIFIERS", {n: replace(s, trees=3) for n, s in models.CLASSIFIERS.items()})
+    rows = {r["model"]: r for r in models.train_all(features(spark, "/root/testdata/sf0.001")).collect()}
+    assert set(rows) == {*models.FORECASTS, *models.CLASSIFIERS} and not any(r["error"] for r in rows.values())
+    assert all(rows[n]["RMSE"] > 0 for n in models.FORECASTS) and all(rows[n]["Accuracy"] > 0.85 for n in models.CLASSIFIERS)
+
+
 def test_flat_vector_order(spark):
     df = series(spark, {"a": [float(i) for i in range(31)], "b": [float(-i) for i in range(31)]})
     steps = windows.sequences(df, ["a", "b"], "a")

@@ -121,6 +121,16 @@ def flatten_steps(steps: Column, features: Sequence[str]) -> Column:
     return F.flatten(F.transform(steps, lambda s: F.array(*[s[f] for f in features])))
 
 
+def split_label(
+    pos: Column, n: Column, train: float = config.TRAIN_FRACTION, validation: float = config.VALIDATION_FRACTION
+) -> Column:
+    """``train``/``validation``/``test`` for row ``pos`` (from 0) of the ``n`` of its series."""
+    cut = F.when(pos < F.floor(guard(n * train)), "train").when(
+        pos < F.floor(guard(n * (train + validation))), "validation"
+    )
+    return cut.otherwise("test")
+
+
 def temporal_split(
     df: DataFrame,
     train: float = config.TRAIN_FRACTION,
@@ -131,7 +141,4 @@ def temporal_split(
     """Label each row ``train``/``validation``/``test`` by its place in the series."""
     n = F.count(F.lit(1)).over(whole(keys))
     pos = F.row_number().over(forward(keys, order)) - 1
-    cut = F.when(pos < F.floor(guard(n * train)), "train").when(
-        pos < F.floor(guard(n * (train + validation))), "validation"
-    )
-    return df.withColumn("split", cut.otherwise("test"))
+    return df.withColumn("split", split_label(pos, n, train, validation))

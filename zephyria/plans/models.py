@@ -1,18 +1,15 @@
-"""Forecasters and classifiers trained with Spark ML on the feature table."""
+"""Forecasters and classifiers grown on the feature table by ``forests``."""
 
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +19,10 @@ from zephyria.functions.numeric import clip
 from zephyria.operators import metrics
 from zephyria.operators.columns import existing, fill_absent_features
 from zephyria.operators.ordering import last_rows_per_key
-from zephyria.operators.scaling import inverse_minmax, minmax, ranges
-from zephyria.operators.series import KEYS, ORDER
-from zephyria.operators.windows import flatten_steps, sequences, temporal_split
-from zephyria.session import ensure_checkpoint_dir
+from zephyria.operators.series import KEYS, ORDER, forward, whole
+from zephyria.operators.tree_growth import Rules
+from zephyria.operators.windows import split_label
+from zephyria.plans import forests
 from zephyria.sources import schemas
 
 log = logging.getLogger(__name__)
@@ -40,7 +37,7 @@ class Forecast:
     features: tuple[str, ...]
     test_on_validation: bool = False  # test on everything after the training part
     floor: float | None = None
-    depth: int = 10  # Spark grows trees of up to 30 levels, at a shuffle of node statistics for each
+    depth: int = 60  # as deep as the rows of a leaf allow
 
 
 @dataclass(frozen=True)
@@ -102,55 +99,64 @@ CLASSIFIERS = {
     ),
 }
 LEARNING_RATE = 0.1
-FITS_AT_ONCE = 4
+#: Ridge on the leaf steps of boosting, and cut points plus one of a column.
+BOOST_RIDGE = 1.0
+FORECAST_BINS, CLASS_BINS = 32, 64
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Training rows spread evenly over the whole cluster and kept for all passes.
+def forecast_rows(df: DataFrame, spec: Forecast) -> DataFrame:
+    """(series, pos, split, keys, label, hash, features): the place of every complete row in its series.
 
-    Tree growing reads its input once per level and costs far more CPU than its
-    bytes suggest, so a small table must not stay in the few tasks that adaptive
-    execution would give it. Keys hash evenly because (station, date) is unique.
-    Every level shuffles node statistics once per partition, so the default is
-    one partition per core; raise ``zephyria.training.partitions`` where a
-    partition would outgrow an executor.
+    The first rows of a series only fill the windows of later ones; they have no split.
     """
-    spark = df.sparkSession
-    tasks = spark.conf.get("zephyria.training.partitions", str(spark.sparkContext.defaultParallelism))
-    return df.repartition(int(tasks), *(keys or (*KEYS, ORDER))).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def forecast_rows(df: DataFrame, spec: Forecast) -> tuple[DataFrame, object]:
-    """Scaled sequences labelled by split, and the scaling range of the features."""
     features = existing(df, spec.features)
-    narrow = df.select(*KEYS, ORDER, *features).na.drop(subset=features)
-    # dealt by station while narrow: the sequences and the fit then stay in this layout
-    rows = _spread(narrow, *KEYS)
-    bounds = ranges(rows, features)
-    scaled = minmax(rows, features, bounds)
-    windows = temporal_split(sequences(scaled, features, spec.target))
-    flat = array_to_vector(flatten_steps(F.col("steps"), features)).alias("features")
-    return windows.select(*KEYS, ORDER, "split", F.col("target").alias("label"), flat), bounds
-
-
-def run_forecast(df: DataFrame, spec: Forecast, seed: int = config.SEED) -> DataFrame:
-    """(station, date, actual, predicted) of the test rows, in original units."""
-    rows, bounds = forecast_rows(df, spec)
-    train = rows.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    test = rows.where(F.col("split") != "train" if spec.test_on_validation else F.col("split") == "test")
-    forest = RandomForestRegressor(
-        numTrees=config.FORECAST_TREES, maxDepth=spec.depth, featureSubsetStrategy="all", seed=seed
+    needed = list(dict.fromkeys([*features, spec.target]))
+    narrow = df.select(*KEYS, ORDER, *needed).na.drop(subset=needed)
+    pos = F.row_number().over(forward()) - 1
+    placed = narrow.withColumns({"pos": pos, "n": F.count(F.lit(1)).over(whole())})
+    length = config.SEQUENCE_LENGTH
+    split = F.when(F.col("pos") >= length, split_label(F.col("pos") - length, F.col("n") - length))
+    return placed.select(
+        *[F.col(k) for k in (*KEYS, ORDER)],
+        F.struct(*KEYS).alias("series"),
+        "pos",
+        split.alias("split"),
+        F.col(spec.target).cast("double").alias("label"),
+        F.xxhash64(*KEYS, ORDER).alias("hash"),
+        *[F.col(c).cast("double").alias(f"feature_{c}") for c in features],
     )
+
+
+def run_forecast(
+    df: DataFrame, spec: Forecast, seed: int = config.SEED, trees: int | None = None, known: dict | None = None
+) -> DataFrame:
+    """(station, date, actual, predicted) of the test rows.
+
+    Trees see order only and leaves hold means, so values are used in their own units.
+    ``known`` keeps forests: specs that learn the same from the same columns share one.
+    """
+    features = sorted(existing(df, spec.features))
+    names = [f"feature_{c}" for c in features]
+    tested = F.col("split") != "train" if spec.test_on_validation else F.col("split") == "test"
+    part = F.when(F.col("split") == "train", forests.TRAIN).when(tested, forests.TEST).otherwise(forests.SKIP)
+    rows = forecast_rows(df, spec).withColumn("part", part).withColumn("hash", F.xxhash64("hash", F.lit(seed)))
+    cuts = forests.cut_points(rows, names, FORECAST_BINS)
+    length = config.SEQUENCE_LENGTH
+    blocks = forests.stored_blocks(rows.drop("split"), (*KEYS, ORDER), names, cuts, length)
     try:
-        model = forest.fit(train)
+        weight = forests.training_rows(blocks)
+        steps = [(lag, c) for lag in range(length, 0, -1) for c in range(len(names))]
+        lags, columns = zip(*steps)
+        rules = Rules(lags, columns, FORECAST_BINS, depth=spec.depth, least=forests.leaf_weight(weight))
+        key = (spec.target, tuple(names), rules, seed)
+        known = {} if known is None else known
+        if key not in known:
+            known[key] = forests.grow_forest(blocks, rules, len(names), trees or config.FORECAST_TREES, weight)
     finally:
-        train.unpersist()
-    predicted = model.transform(test)
-    out = predicted.select(*KEYS, ORDER, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
-    for column in ("actual", "predicted"):
-        out = inverse_minmax(out, column, spec.target, bounds)
-        if spec.floor is not None:
-            out = out.withColumn(column, clip(F.col(column), lo=spec.floor))
+        blocks.unpersist()
+    out = forests.predicted(blocks, known[key], (*KEYS, ORDER))
+    if spec.floor is not None:
+        out = out.withColumns({c: clip(F.col(c), lo=spec.floor) for c in ("actual", "predicted")})
     return out
 
 
@@ -166,34 +172,46 @@ def is_holdout(keys: Sequence[str] = (*KEYS, ORDER), percent: int = config.HOLDO
     return bits % 100 < percent
 
 
+def class_labels(rows: DataFrame) -> np.ndarray:
+    """The labels that occur, rising; more than ``MOST_CLASSES`` are no classes."""
+    found = [r[0] for r in rows.select("label").distinct().limit(metrics.MOST_CLASSES + 1).collect()]
+    if len(found) > metrics.MOST_CLASSES:
+        raise ValueError(f"a classifier takes at most {metrics.MOST_CLASSES} labels")
+    return np.array(sorted(found), np.float64)
+
+
 def run_classifier(df: DataFrame, spec: Classification, seed: int = config.SEED) -> DataFrame:
     """(station, date, actual, predicted) of the hold-out rows."""
     features = existing(df, spec.features)
-    rows = df.select(*KEYS, ORDER, *features, F.col(spec.target).cast("double").alias("label")).dropna(
-        subset=[*features, "label"]
-    )
-    points = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    points = points.select(*KEYS, ORDER, "label", "features", is_holdout().alias("held"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = _spread(points.where(~F.col("held"))), points.where("held")
+    names = [f"feature_{c}" for c in features]
+    rows = df.select(
+        *KEYS,
+        ORDER,
+        F.col(spec.target).cast("double").alias("label"),
+        F.xxhash64(*KEYS, ORDER, F.lit(seed)).alias("hash"),
+        F.when(is_holdout(), forests.TEST).otherwise(forests.TRAIN).alias("part"),
+        *[F.col(c).cast("double").alias(f"feature_{c}") for c in features],
+    ).na.drop(subset=["label", *names])
+    labels = class_labels(rows)
+    cuts = forests.cut_points(rows, names, CLASS_BINS)
+    codes = F.create_map(*[F.lit(x) for i, v in enumerate(labels.tolist()) for x in (v, float(i))])
+    coded = rows.withColumn("label", codes[F.col("label")]) if len(labels) else rows
+    blocks = forests.stored_blocks(coded, (*KEYS, ORDER), names, cuts, 0)
+    rules = Rules((0,) * len(names), tuple(range(len(names))), CLASS_BINS, targets=max(1, len(labels)), counted=True)
     try:
-        model = _fit(train, spec, seed)
+        if spec.boosted:
+            rules = replace(rules, ridge=BOOST_RIDGE, targets=1, counted=False)
+            rounds = forests.boosted(blocks, rules, len(names), len(labels), spec.trees, spec.depth, LEARNING_RATE)
+            out = forests.boosted_classes(blocks, rounds, rules, len(names), labels, (*KEYS, ORDER))
+        else:
+            weight = forests.training_rows(blocks)
+            tried = max(1, math.isqrt(len(names)))
+            rules = replace(rules, tried=tried, depth=spec.depth, least=forests.leaf_weight(weight))
+            forest = forests.grow_forest(blocks, rules, len(names), spec.trees, weight)
+            out = forests.predicted(blocks, forest, (*KEYS, ORDER), labels)
     finally:
-        train.unpersist()
-    predicted = model.transform(test)
-    return predicted.select(
-        *KEYS, ORDER, F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")
-    )
-
-
-def _fit(train: DataFrame, spec: Classification, seed: int) -> Model:
-    if not spec.boosted:
-        return RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, seed=seed).fit(train)
-    ensure_checkpoint_dir(train.sparkSession)  # boosting rounds cut their lineage there
-    boosted = GBTClassifier(
-        maxIter=spec.trees, maxDepth=spec.depth, stepSize=LEARNING_RATE, seed=seed, checkpointInterval=10
-    )
-    return OneVsRest(classifier=boosted, parallelism=4).fit(train)
+        blocks.unpersist()
+    return out.select(*KEYS, ORDER, F.col("actual").cast("int").alias("actual"), F.col("predicted").cast("int").alias("predicted"))
 
 
 def _metric_row(df: DataFrame, model: str, task: str) -> DataFrame:
@@ -221,20 +239,24 @@ def classifier_metrics(predictions: DataFrame, model: str, spec: Classification)
 def train_all(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """One metrics row per model, with ``error`` where a fit failed.
 
-    The feature table is persisted once (spilling to disk) for all the fits, of which
-    a few run at a time: each is a long series of short jobs.
+    The feature table is persisted once (spilling to disk) for all the fits. Boosting is
+    a long row of short jobs, so it runs beside the others, in a fair pool of its own
+    where the scheduler has pools. Forecasts that share a forest run one after another.
     """
     spark: SparkSession = df.sparkSession
     table = fill_absent_features(df).persist(StorageLevel.MEMORY_AND_DISK)
+    grown: dict = {}
     jobs: dict[str, Callable[[], DataFrame]] = {
-        name: lambda n=name, s=spec: forecast_metrics(run_forecast(table, s), n, s) for name, spec in FORECASTS.items()
-    } | {
         name: lambda n=name, s=spec: classifier_metrics(run_classifier(table, s), n, s)
         for name, spec in CLASSIFIERS.items()
+    } | {
+        name: lambda n=name, s=spec: forecast_metrics(run_forecast(table, s, known=grown), n, s)
+        for name, spec in FORECASTS.items()
     }
     tasks = {n: s.task for n, s in {**FORECASTS, **CLASSIFIERS}.items()}
 
     def attempt(name: str) -> list[tuple]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         try:
             return [(*row, None) for row in jobs[name]().collect()]  # one row of figures per model
         except Exception as err:  # one failing model must not stop the others, and must not go unseen
@@ -242,14 +264,19 @@ def train_all(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
             empty = [None] * (len(schemas.METRIC.fields) - 2)
             return [(name, tasks[name], *empty, f"{type(err).__name__}: {err}"[:500])]
 
+    wanted = [n for n in jobs if only is None or n in only]
+    series = [[n] for n in wanted if n in CLASSIFIERS and CLASSIFIERS[n].boosted]
+    series.append([n for n in wanted if [n] not in series])
     try:
         table.count()  # filled once, before several fits want it
-        with ThreadPool(FITS_AT_ONCE) as pool:
-            done = pool.map(attempt, [n for n in jobs if only is None or n in only], chunksize=1)
+        with ThreadPool(len(series)) as pool:
+            done = pool.map(inheritable_thread_target(spark)(lambda names: [row for n in names for row in attempt(n)]), series, chunksize=1)
     finally:
         table.unpersist()
     schema = T.StructType([*schemas.METRIC.fields, T.StructField("error", T.StringType())])
-    return spark.createDataFrame([row for rows in done for row in rows], schema)
+    order = list(tasks)
+    rows = sorted((row for rows in done for row in rows), key=lambda row: order.index(row[0]))
+    return spark.createDataFrame(rows, schema)
 
 
 def forecast_compare(predictions: DataFrame, rows: int = 30) -> DataFrame:
