@@ -54,3 +54,15 @@ def test_heavy_tails_and_outliers_do_not_widen_a_bracket(spark):
             assert np.isclose(got[k][name], np.quantile(vs, p), rtol=1e-9)
     sizes = brackets(rows, "v", PROBS, ["k"], accuracy, False).groupBy("k", "_i").agg(F.sum("_n").alias("n"))
     assert sizes.agg(F.max("n")).collect()[0][0] <= 7 * n / accuracy
+
+
+def test_values_outside_the_brackets_do_not_move(spark):
+    """Rows that the shuffle of counted values gets: the brackets' share, not the table."""
+    n = 200_000
+    df = spark.range(0, n, 1, 4).select((F.col("id") % 4).alias("g"), F.xxhash64("id").cast("double").alias("v"))
+    ordered = brackets(df, "v", {"a": 0.25, "b": 0.75}, ["g"], 10_000, True)
+    rows = ordered.agg(F.count("*").alias("rows"), F.max("_total").alias("total")).first()
+    assert rows["total"] == n // 4 and rows["rows"] < n * 2 * 6 / 10_000 + 100
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    counted = [line for line in plan.splitlines() if "keys=[g" in line and "_under" in line and "partial_count" in line]
+    assert counted, plan

@@ -82,21 +82,38 @@ def brackets(
         ]
     )
     figures = figures.select(*group, "_total", spans.alias("_spans"))
-    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
-    if group:
-        spanned = counts.join(F.broadcast(figures) if few_groups else figures, group)
+    if group and not few_groups:
+        counted = rows.groupBy(*group, "_v").agg(F.count("*").alias("_n")).join(figures, group)
+        kept = counted.withColumn("_under", under(len(probs)))
     else:
-        row = figures.select(F.struct("_total", "_spans")).scalar()
-        spanned = counts.withColumn("_row", row).select("_v", "_n", "_row.*")
-    placed = spanned.select(*group, "_total", "_v", "_n", F.inline("_spans"))
-    below = placed.groupBy(*group, "_i").agg(F.sum(F.when(F.col("_v") < F.col("_from"), F.col("_n")).otherwise(0)).alias("_below"))
-    inside = placed.where((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))).drop("_from", "_to")
+        # the few brackets go to the rows: values outside all of them leave a task as counts
+        if group:
+            spanned = rows.join(F.broadcast(figures), group)
+        else:
+            spanned = rows.withColumn("_row", figures.select(F.struct("_total", "_spans")).scalar()).select("_v", "_row.*")
+        held = F.exists("_spans", lambda s: (F.col("_v") >= s["_from"]) & (F.col("_v") <= s["_to"]))
+        marked = spanned.select(*group, F.when(held, F.col("_v")).alias("_v"), under(len(probs)).alias("_under"))
+        counts = marked.groupBy(*group, "_v", "_under").agg(F.count("*").alias("_n"))
+        if group:
+            kept = counts.join(F.broadcast(figures), group)
+        else:
+            kept = counts.withColumn("_row", figures.select(F.struct("_total", "_spans")).scalar()).select("_v", "_under", "_n", "_row.*")
+    placed = kept.select(*group, "_total", "_v", "_n", "_under", F.inline("_spans"))
+    is_under = F.expr("shiftright(_under, _i) & 1L") == 1
+    below = placed.groupBy(*group, "_i").agg(F.sum(F.when(is_under, F.col("_n")).otherwise(0)).alias("_below"))
+    inside = placed.where((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))).drop("_from", "_to", "_under")
     running = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     # without keys there are as many figures as probabilities
     joined = inside.join(F.broadcast(below) if few_groups or not group else below, [*group, "_i"])
     return joined.withColumn("_start", F.col("_below") + F.sum("_n").over(running) - F.col("_n")).drop("_below")
 
 
+def under(spans: int) -> Column:
+    """A bit for each bracket that the value lies below."""
+    bits = [F.when(F.col("_v") < F.col("_spans")[i]["_from"], F.lit(1 << i)).otherwise(F.lit(0)) for i in range(spans)]
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def approximate_quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (), accuracy: int = 10000
 ) -> DataFrame:
