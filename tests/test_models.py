@@ -118,6 +118,30 @@ def test_clusters_cover_all_wards_and_beat_single_starts(spark):
     assert all(len(v) == 1 for v in planted.values())
 
 
+def test_all_starts_advance_in_the_same_jobs(spark):
+    """As cheap as the best of single starts; rows of equal profile never part."""
+    rng = np.random.default_rng(4)
+    cols = [c for c in models.config.WARD_FEATURES]
+    rows = [(f"w{i}", *[float(v) for v in rng.normal((i % 3) * 4, 1.5, len(cols))]) for i in range(90)]
+    rows += [(f"v{i}", *rows[0][1:]) for i in range(4)]
+    profiles = spark.createDataFrame(rows, "ward string, " + ", ".join(f"`{c}` double" for c in cols))
+    x = np.array([r[1:] for r in rows])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def cost(starts):
+        label = {r["ward"]: r["cluster"] for r in clustering.assign_clusters(profiles, 3, starts=starts).collect()}
+        label = np.array([label[r[0]] for r in rows])
+        assert len({label[i] for i in (0, 90, 91, 92, 93)}) == 1
+        centres = [x[label == k].mean(axis=0) for k in range(3)]
+        near = np.array([((x - c) ** 2).sum(axis=1) for c in centres]).argmin(axis=0)
+        assert (near == label).all()  # a resting state: every row is at its nearest mean
+        return sum(((x[label == k] - c) ** 2).sum() for k, c in enumerate(centres))
+
+    group = np.array([i % 3 for i in range(90)] + [0] * 4)
+    planted = sum(((x[group == k] - x[group == k].mean(axis=0)) ** 2).sum() for k in range(3))
+    assert cost(10) <= planted + 1e-6 and cost(10) <= cost(1) + 1e-6
+
+
 def test_training_job_stores_its_metrics(spark, waves, few_trees, tmp_path):
     """No features are stored, so the merged table is used; the model that fails is not stored."""
     from zephyria.plans import jobs
