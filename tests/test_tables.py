@@ -29,7 +29,7 @@ def test_first_existing_table_wins(spark, tmp_path):
 def test_written_years_are_pruned(spark, tmp_path):
     df = columns.add_calendar(series(spark, {"x": [1.0] * 800}))
     tables.write_table(df, str(tmp_path / "t"))
-    hit = columns.year_range(spark.read.parquet(str(tmp_path / "t")), 2021, 2021)
+    hit = columns.year_range(spark.read.parquet(tables.current(spark, str(tmp_path / "t"))), 2021, 2021)
     plan = hit._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and hit.count() == 365
 
@@ -159,14 +159,50 @@ def test_scans_go_by_name(spark, tmp_path):
         tables.scan(spark, other, schemas.AIR)
 
 
+def stored(spark, path):
+    return spark.read.parquet(tables.current(spark, path))
+
+
 def test_writing_replaces_a_table_and_may_read_it(spark, tmp_path):
     path = str(tmp_path / "t")
     df = columns.add_calendar(series(spark, {"x": [1.0] * 800}))
     tables.write_table(df, path)
-    tables.write_table(spark.read.parquet(path).withColumn("x", F.col("x") + 1), path)
-    assert spark.read.parquet(path).agg(F.sum("x")).collect()[0][0] == 1600
-    files = [f for f in (tmp_path / "t").rglob("*.parquet")]
-    assert len(files) <= 3 * tables.FILES_PER_VALUE
+    opened = stored(spark, path)
+    for _ in range(3):
+        tables.write_table(stored(spark, path).withColumn("x", F.col("x") + 1), path)
+        if tables.versions(spark, path)[-1][0] == 2:
+            assert opened.agg(F.sum("x")).collect()[0][0] == 800  # the version before is still there
+    assert stored(spark, path).agg(F.sum("x")).collect()[0][0] == 3200
+    assert [n for n, _ in tables.versions(spark, path)] == [3, 4]
+    assert len([f for f in (tmp_path / "t").glob("v-*")]) == 2
+
+
+def test_a_write_that_dies_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = columns.add_calendar(series(spark, {"x": [float(i) for i in range(800)]}))
+    tables.write_table(df, path)
+    broken = F.when(F.col("x") < 799, F.col("x")).otherwise(F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_table(df.withColumn("x", broken), path)
+    assert stored(spark, path).count() == 800
+    df.limit(3).write.parquet(f"{path}/v-unpublished")  # complete, but its writer died before publishing
+    assert stored(spark, path).count() == 800 and tables.find(spark, path, None, "parquet").count() == 800
+    tables.write_table(df.limit(5), path)
+    assert stored(spark, path).count() == 5
+
+
+def test_years_get_files_by_their_bytes(spark, tmp_path):
+    """A heavy year is split, light ones are not spread."""
+    days = columns.add_calendar(series(spark, {"x": [0.5] * 800}))
+    heavy = days.join(spark.range(0, 400).withColumnRenamed("id", "copy"), F.col("year") == 2020).withColumn("noise", F.rand(1))
+    light = days.where("year > 2020").withColumns({"copy": F.lit(0).cast("long"), "noise": F.rand(2)})
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        tables.write_table(heavy.unionByName(light), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {y: len(list((tmp_path / "t").glob(f"v-*/year={y}/*.parquet"))) for y in (2020, 2021, 2022)}
+    assert files[2020] >= 4 and files[2021] == files[2022] == 1
 
 
 def weather_rows(spark, n=40):
@@ -183,8 +219,8 @@ def test_preprocess_touches_nothing_without_both_inputs(spark, tmp_path):
     (tmp_path / "raw" / "aqi").rename(tmp_path / "raw" / "elsewhere")
     with pytest.raises(FileNotFoundError):
         jobs.preprocess(spark, root)
-    assert spark.read.parquet(jobs.processed(root, "merged_dataset")).count() == 40
-    assert spark.read.parquet(jobs.processed(root, "aqi_processed")).count() == 40
+    assert stored(spark, jobs.processed(root, "merged_dataset")).count() == 40
+    assert stored(spark, jobs.processed(root, "aqi_processed")).count() == 40
 
 
 def test_risks_without_air_use_the_defaults(spark, tmp_path):

@@ -13,7 +13,7 @@ from zephyria.operators.ordering import date_spine
 from zephyria.session import scratch_path
 from zephyria.sources import feeds, schemas, warehouse
 from zephyria.sources.metrics_store import read_metrics, read_stored, write_metrics
-from zephyria.sources.tables import scan, scan_first, scan_wards, write_table
+from zephyria.sources.tables import current, scan, scan_first, scan_wards, write_table
 
 _WEATHER_SQL = (
     with_(OBS)
@@ -112,7 +112,7 @@ def write_table_query(spark, sf):
     path = scratch_path(spark, "daily-table")
     daily = warehouse.add_calendar(warehouse.obs_daily(spark, sf).select("station_id", "date", "aqi"))
     write_table(daily.select("station_id", "date", "aqi", "season", "year"), path)
-    return spark.read.parquet(path).select("station_id", "date", "aqi", "season", "year")
+    return spark.read.parquet(current(spark, path)).select("station_id", "date", "aqi", "season", "year")
 
 
 @query("write_metrics", METRIC_ROWS_SQL.replace("select model, task,", "select model,"))

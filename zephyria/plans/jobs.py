@@ -12,7 +12,7 @@ from zephyria.operators.joins import attach_air
 from zephyria.plans import clustering, daily, models
 from zephyria.sources import schemas
 from zephyria.sources.metrics_store import write_metrics
-from zephyria.sources.tables import find, scan, scan_first, write_table
+from zephyria.sources.tables import current, find, scan, scan_first, write_table
 
 
 def processed(root: str, name: str) -> str:
@@ -24,7 +24,7 @@ def raw(root: str, name: str) -> str:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(current(spark, path))
 
 
 def preprocess(spark: SparkSession, root: str) -> DataFrame:

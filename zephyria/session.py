@@ -66,15 +66,3 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused between runs."""
     return f"{shared_root(spark)}/zephyria/{name}-{uuid.uuid4().hex}"
-
-
-def sibling_path(path: str) -> str:
-    """A fresh path in the folder of ``path``, for a table that is to replace it."""
-    head, _, tail = path.rstrip("/").rpartition("/")
-    return f"{head}/_{tail}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make iterative ML fits able to cut their lineage durably."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")

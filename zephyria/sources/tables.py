@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,13 +12,12 @@ from pyspark.sql import types as T
 
 from zephyria import config
 from zephyria.functions.numeric import no_nan
-from zephyria.session import sibling_path
 from zephyria.sources import schemas
 
 #: What a file without the column has in it; other absent columns are NULL.
 KEY_DEFAULTS = {"station_id": config.DEFAULT_STATION, "region_id": config.DEFAULT_REGION}
-#: Files that a partition value is spread over at most when a table is written.
-FILES_PER_VALUE = 8
+#: Versions of a written table are folders beside each other; a numbered pointer names the one that counts.
+POINTER, VERSION = "_current-", "v-"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -43,8 +43,9 @@ def _open(spark: SparkSession, path: str, schema: T.StructType | None, fmt: str)
     """A stored table, or None where the path is absent.
 
     A CSV file is read by the names in its header, whatever their order; the header
-    is the only thing read twice.
+    is the only thing read twice. Of a table that was written here, the newest version is read.
     """
+    path = current(spark, path)
     try:
         if fmt != "csv":
             return (spark.read if schema is None else spark.read.schema(schema)).format(fmt).load(path)
@@ -91,25 +92,60 @@ def scan_wards(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, schemas.WARD)
 
 
+def _folder(spark: SparkSession, path: str):
+    """(the path as Hadoop has it, its file system)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the published versions of a table, oldest first.
+
+    A pointer's name holds both, so it is never read half written.
+    """
+    folder, files = _folder(spark, path)
+    if not files.exists(folder) or not files.getFileStatus(folder).isDirectory():
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    parts = [n.removeprefix(POINTER).split("-", 1) for n in names if n.startswith(POINTER)]
+    return sorted((int(number), version) for number, version in parts)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are: its newest published version, or the path itself where it has none."""
+    found = versions(spark, path)
+    return f"{path.rstrip('/')}/{VERSION}{found[-1][1]}" if found else path
+
+
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = ("year",), fmt: str = "parquet"
 ) -> None:
-    """Overwrite ``path``. Parquet is laid out by year so year filters prune files.
+    """Replace the table at ``path``. Parquet is laid out by year so year filters prune files.
 
-    Rows of a year are gathered first (in a bounded number of parts, so that a large
-    year stays spread), or every task would leave a file for every year. The new table
-    is complete beside the old one before it takes its place.
+    Rows are gathered by year and the parts balanced by their measured bytes, so files
+    neither stay tiny nor hold a year of any size. The table is written as a version of
+    its own; creating the pointer to it publishes it, in one step. Before that a reader,
+    or whoever comes after a crash, has the version before, which is kept as long as
+    this one is the newest, for readers who have opened it. Read with ``find`` or ``scan``.
     """
     keys = [] if fmt == "csv" else [c for c in partition_by if c in df.columns]
-    if keys:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_VALUE))
-        df = df.withColumn("_part", part).repartition(*keys, "_part").drop("_part")
-    spark, fresh = df.sparkSession, sibling_path(path)
-    writer = df.write.format(fmt)
+    spark, root = df.sparkSession, path.rstrip("/")
+    name = uuid.uuid4().hex
+    writer = (df.hint("rebalance", *keys) if keys else df).write.format(fmt)
     writer = writer.option("header", True) if fmt == "csv" else writer
-    (writer.partitionBy(*keys) if keys else writer).save(fresh)
-    old = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old):
-        raise OSError(f"{fresh} is complete but could not take the place of {path}")
+    (writer.partitionBy(*keys) if keys else writer).save(f"{root}/{VERSION}{name}")
+    publish(spark, root, name)
+
+
+def publish(spark: SparkSession, root: str, name: str) -> None:
+    """Make version ``name`` the table; of two writers with one number the later one fails."""
+    before = versions(spark, root)
+    number = before[-1][0] + 1 if before else 1
+    folder, files = _folder(spark, root)
+    files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{POINTER}{number}-{name}"), False).close()
+    if [n for n, _ in versions(spark, root)].count(number) > 1:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{POINTER}{number}-{name}"), False)
+        raise OSError(f"another writer replaced {root} at the same time")
+    for number, version in before[:-1]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{POINTER}{number}-{version}"), False)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{VERSION}{version}"), True)
