@@ -5,7 +5,7 @@ import numpy as np
 import plain
 import pytest
 
-from zephyria.llm import ngram_join, repeat_index, suffix_dedup
+from zephyria.llm import ngram_join, repeat_index, shingles, suffix_dedup
 from zephyria.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -36,6 +36,28 @@ def test_links_are_all_found(spark, monkeypatch, seed, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.linked(rows)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_that_cancel_in_sums_of_powers(spark):
+    """Texts of long self-similar words that share no word are not one set."""
+    rows = []
+    for size in (64, 256, 1024, 2048, 4096):
+        one, two = thue_morse(size), thue_morse(size, "ba")
+        rows += [(len(rows), " ".join(one + str(i) * 3 for i in range(5))), (len(rows) + 1, " ".join(two + str(i) * 3 for i in range(5)))]
+        rows += [(len(rows), " ".join([one] * 5)), (len(rows) + 1, " ".join([two] * 5))]
+    assert len({tuple(shingles.shingle_set(t).tolist()) for _, t in rows}) == len(rows)
+    got = ngram_join.near_duplicate_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d for d, _ in rows}
+
+
+def test_words_are_told_apart_by_every_byte():
+    words = sorted({bytes([65 + (i >> s) % 26 for s in range(0, 4)]) * (1 + i % 5) for i in range(3000)} | {b"x" * n for n in range(1, 300)})
+    assert len(set(shingles.word_hashes(b" ".join(words)).tolist())) == len(words)
+    assert (shingles.word_hashes(b"  a\tbc a ")[[0, 2]] == shingles.word_hashes(b"a a")).all()
+
+
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
     rows = copies(4, groups=1, size=120)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from zephyria.llm.hashing import M1, M2, M3, mixed, prefix_sums, stretch_hash
+from zephyria.llm.hashing import M1, M2, M3, mixed
 
 WORDS = 5
 #: Texts are hashed in parts of about this many bytes, cut at white space.
@@ -12,22 +12,37 @@ PART_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * M1)
+#: Bytes that are mixed together, and for each number of them the mask of a lane that has no more.
+LANE = 8
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(LANE + 1)], np.uint64)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each word (run without ASCII white space)."""
+    """A hash for each word (run without ASCII white space).
+
+    Every eight bytes are mixed with their place in the word before they are added up, so
+    no sum of powers can cancel, however a word repeats itself.
+    """
     found = []
     at = 0
     while at < len(data):
         end = min(len(data), at + PART_BYTES)
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
-        part = np.frombuffer(data[at:end], np.uint8)
-        space = _SPACE[part]
+        part = np.frombuffer(data[at:end] + bytes(LANE), np.uint8)
+        space = _SPACE[part[:-LANE]]
         edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        found.append(stretch_hash(prefix_sums(_BYTE[part]), start, stop - start))
+        if len(start):
+            length = stop - start
+            lanes = -(-length // LANE)
+            first = np.cumsum(lanes) - lanes
+            place = np.arange(lanes.sum()) - np.repeat(first, lanes)
+            spot = np.repeat(start, lanes) + LANE * place
+            held = np.minimum(np.repeat(stop, lanes) - spot, LANE)
+            value = np.lib.stride_tricks.sliding_window_view(part, LANE)[spot].view("<u8").ravel() & _MASK[held]
+            mixed_lanes = mixed(mixed(value ^ mixed((place + 1).astype(np.uint64) * M1)) * M3)
+            found.append(mixed(np.add.reduceat(mixed_lanes, first) + length.astype(np.uint64) * M2))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
