@@ -94,6 +94,18 @@ def test_quality_of_held_out_rows(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def test_fit_takes_long_texts_whole_and_repeated_ids_within_the_bound(spark, monkeypatch):
+    """The only sign of a bad text is far inside it; one id has many rows."""
+    monkeypatch.setattr(quality_cnn, "GRADIENT_CHUNKS", 16)
+    filler = "plain words of some text " * 1000
+    docs = [(i, filler[: 12_000] + ("#%$@" * 120 if i % 2 else " calm " * 80) + filler[: 11_000]) for i in range(0, 60)]
+    docs += [(docs[3][0], docs[3][1])] * 200
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r for r in quality_cnn.quality_scores(df, labels, per_class=20).collect()}
+    assert sum(r.predicted == 1 - d % 2 for d, r in out.items() if r.held_out) >= 0.9 * sum(r.held_out for r in out.values())
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -5,12 +5,12 @@ filters run over each chunk and are max-pooled; the means and maxima of the chun
 pooled filters go through a logistic unit.
 
 The network is fitted on at most ``per_class`` labelled rows of either class (a bound
-in rows; of each, at most ``TRAIN_CHUNKS`` evenly spaced chunks). Scoring reads whole
-texts. Rows with crc32(doc_id) mod 3 = 1 are never fitted on.
+in rows; all chunks of their texts). Scoring reads whole texts. Rows with crc32(doc_id) mod 3 = 1 are never fitted on.
 
 Defined cases: null text is the empty text, which gets the score of a chunk of
 padding; a null id is not held out; without labelled rows of both classes every score
-is the share of label 1 (0.5 without labels); null labels are ignored, repeated ones count each;
+is the share of label 1 (0.5 without labels); null labels are ignored, repeated ones count each,
+within the bound;
 result columns replace input columns of the same name; an empty table gives no rows.
 """
 
@@ -29,12 +29,13 @@ from zephyria.llm.common import boxed, importable_on_workers, text_of, unboxed
 #: Labelled rows of each class that the network is fitted on at most.
 PER_CLASS = 1000
 CHUNK, OVERLAP = 512, 64
-TRAIN_CHUNKS = 16
 EMBEDDING, TAPS, FILTERS = 6, 8, 24
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 PAD = 256
 #: Chunks that go through the filters at a time.
 AT_ONCE = 64
+#: Chunks whose gradients are taken at a time; a text of any length is fitted on as a whole.
+GRADIENT_CHUNKS = 2048
 
 
 def chunks_of(data: bytes) -> np.ndarray:
@@ -113,15 +114,19 @@ class ByteNet:
         owner = np.repeat(np.arange(len(texts)), counts)
         largest = pooled == features[owner, FILTERS:]
         pooled_down = (down[owner, :FILTERS] / counts[owner, None] + down[owner, FILTERS:] * largest) * (pooled > 0)
-        spots = place[:, :, None] + np.arange(TAPS)
-        symbols = chunks[np.arange(len(chunks))[:, None, None], spots]
-        vectors = self.w["embedding"][symbols].reshape(len(chunks), FILTERS, -1)
-        back = (pooled_down[:, :, None] * self.w["filters"].T).reshape(-1, EMBEDDING)
-        embedding = np.stack([np.bincount(symbols.ravel(), back[:, e], PAD + 1) for e in range(EMBEDDING)], axis=1)
+        embedding, filters = np.zeros((PAD + 1, EMBEDDING)), np.zeros_like(self.w["filters"])
+        for a in range(0, len(chunks), GRADIENT_CHUNKS):
+            some, back_some = chunks[a : a + GRADIENT_CHUNKS], pooled_down[a : a + GRADIENT_CHUNKS]
+            spots = place[a : a + GRADIENT_CHUNKS, :, None] + np.arange(TAPS)
+            symbols = some[np.arange(len(some))[:, None, None], spots]
+            vectors = self.w["embedding"][symbols].reshape(len(some), FILTERS, -1)
+            back = (back_some[:, :, None] * self.w["filters"].T).reshape(-1, EMBEDDING)
+            embedding += np.stack([np.bincount(symbols.ravel(), back[:, e], PAD + 1) for e in range(EMBEDDING)], axis=1)
+            filters += np.einsum("nfk,nf->kf", vectors, back_some, optimize=True)
         embedding[PAD] = 0
         return {
             "embedding": embedding.astype(np.float32),
-            "filters": np.einsum("nfk,nf->kf", vectors, pooled_down, optimize=True),
+            "filters": filters,
             "shift": pooled_down.sum(axis=0),
             "out": error @ features,
             "bias": error.sum(keepdims=True),
@@ -129,10 +134,8 @@ class ByteNet:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> ByteNet:
         """Adam over shuffled batches."""
-        rng, laid = np.random.default_rng(seed), []
-        for data in texts:
-            chunks = chunks_of(data)
-            laid.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int))])
+        rng = np.random.default_rng(seed)
+        laid = [chunks_of(data) for data in texts]
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
         square, step = {k: np.zeros_like(v) for k, v in self.w.items()}, 0
         for epoch in range(epochs):
@@ -163,6 +166,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         return {}, float(np.log(share / (1 - share)))
     pick = lambda k: usable.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id")
+    # ids that repeat cannot make the sample larger
+    sample = sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * per_class)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts)).sort_values(["doc_id", "text"])
