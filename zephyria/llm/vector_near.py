@@ -90,6 +90,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def floats(name: str, df: DataFrame) -> Column:
+    """The vectors as they are where they hold floats or doubles, else as doubles."""
+    kind = df.schema[name].dataType.simpleString()
+    return F.col(name) if kind in ("array<float>", "array<double>") else F.col(name).cast("array<double>")
+
+
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Components one after another, and the length of each vector."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -104,6 +110,7 @@ def unit_vectors(classes: DataFrame) -> DataFrame:
             flat, lengths = matrix(batch.column(3))
             if not len(lengths):
                 continue
+            flat = flat.astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), lengths)  # squares stay finite
             flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), lengths)
@@ -276,7 +283,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, dense: int = DENSE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
     importable_on_workers(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), floats("embedding", vectors).alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m"))
     ordered = classes.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("vector")).withColumn("node", F.monotonically_increasing_id())
