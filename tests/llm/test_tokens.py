@@ -163,3 +163,13 @@ def test_packing_repeats_and_empty(spark):
     out = packing.pack_documents(df, plain.PATH).collect()
     assert len(out) == 5 and len({(r.sequence_id, r.offset) for r in out}) == 5
     assert packing.pack_documents(df.limit(0), plain.PATH).count() == 0
+
+
+def test_known_pairs_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(bpe_stream, "PAIRS", 40)
+    encoder, own = bpe_stream.Encoder(plain.PATH), plain.library()
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé ", k=300))
+        assert list(np.frombuffer(encoder.encode(text), "<u4")) == own.encode(text, add_special_tokens=False).ids
+        assert len(encoder.merges.neighbours) <= 40 and len(encoder.merges.older_neighbours) <= 40

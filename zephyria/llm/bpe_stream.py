@@ -42,6 +42,8 @@ from zephyria.llm.tokenizers_local import PATTERN, byte_level_file
 REMEMBERED = 200_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
+#: Token pairs in one generation of those whose neighbourhood is known.
+PAIRS = 1 << 18
 #: Characters that are fed to the transducer at a time.
 FEED_CHARS = 1 << 14
 
@@ -77,9 +79,21 @@ class MergeList:
             self.suffixes.add_word(token.decode("latin-1"), (len(token), i))
         self.suffixes.make_automaton()
         self.neighbours: dict[int, bool] = {}
+        self.older_neighbours: dict[int, bool] = {}
         #: tokens that are the encoding of their own bytes
         self.whole = [x < 0 or self.may_follow(x, y, joined=True) for x, y in zip(self.left, self.right)]
 
+    def follows(self, key: int, a: int, b: int) -> bool:
+        """``may_follow``, remembered in two generations of at most ``PAIRS`` pairs."""
+        fits = self.older_neighbours.get(key)
+        if fits is None:
+            fits = self.may_follow(a, b)
+        if len(self.neighbours) >= PAIRS:
+            self.older_neighbours = dict(self.neighbours)
+            self.neighbours.clear()  # in place: streams hold on to it
+        self.neighbours[key] = fits
+        return fits
+
     def may_follow(self, a: int, b: int, joined: bool = False) -> bool:
         """Whether the bytes of ``a`` and ``b``, merged in order of rank, stay these two.
 
@@ -139,7 +153,7 @@ class WordStream:
     def feed(self, data: str) -> list[int]:
         """Take bytes (as Latin-1 text); returns tokens that became stable."""
         merges, last = self.merges, self.last
-        neighbours, may_follow = merges.neighbours, merges.may_follow
+        neighbours, follows = merges.neighbours, merges.follows
         out: list[int] = []
         start = len(last)
         if self.search is None:
@@ -165,7 +179,7 @@ class WordStream:
             key = before << 20 | token
             fits = neighbours.get(key)
             if fits is None:
-                fits = neighbours[key] = may_follow(before, token)
+                fits = follows(key, before, token)
             if fits:
                 last.append(token)
                 at = i
