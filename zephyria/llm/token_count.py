@@ -73,4 +73,4 @@ def keeps_spaces(path: str) -> bool:
     import json
 
     with open(path, encoding="utf-8") as f:
-        return json.load(f)["pre_tokenizer"].get("type") == "ByteLevel"
+        return (json.load(f).get("pre_tokenizer") or {}).get("type") == "ByteLevel"
