@@ -6,6 +6,7 @@ from zephyria.catalog import (  # noqa: F401  (importing a section registers its
     column_queries,
     composite_queries,
     join_queries,
+    long_series_queries,
     model_queries,
     ordering_queries,
     scalar_queries,

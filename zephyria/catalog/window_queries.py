@@ -129,7 +129,11 @@ _FRAME = "over (partition by station_id order by date rows between 30 preceding
 )
 def make_sequences(spark, sf):
     """Every 30-row window, summarised by its ends and a position-weighted sum per feature."""
-    steps = windows.sequences(obs(spark, sf), _SEQ, "temperature_mean")
+    return summarised(windows.sequences(obs(spark, sf), _SEQ, "temperature_mean"))
+
+
+def summarised(steps):
+    """Ends and position-weighted sums of 30-row windows."""
 
     def weighted(c: str):
         terms = F.transform("steps", lambda s, i: s[c] * (i + 1))

@@ -30,6 +30,18 @@ def fill_nearest(
     )
 
 
+def between(c: str, leading: bool) -> Column:
+    """Fill from the brackets ``_{c}_p`` and ``_{c}_n`` with their places ``_at``; a row's own place is ``_pos``."""
+    before, after = F.col(f"_{c}_p"), F.col(f"_{c}_n")
+    # positions count from either end; only ratios of their differences matter
+    since, gap = F.col("_pos") - F.col(f"_{c}_p_at"), F.col(f"_{c}_n_at") - F.col(f"_{c}_p_at")
+    # on a known row both brackets are the row itself, so test that first
+    inner = F.when(F.col(c).isNotNull(), F.col(c)).when(
+        before.isNotNull() & after.isNotNull(), guard(before + (after - before) / gap * since)
+    )
+    return F.coalesce(inner, before, after) if leading else F.coalesce(inner, before)
+
+
 def interpolate(
     df: DataFrame,
     cols: Sequence[str] | None = None,
@@ -64,17 +76,7 @@ def interpolate(
             nearest[f"_{c}_{side}_at"] = _nearest(F.when(F.col(c).isNotNull(), F.col("_pos")), window)
         bracketed = bracketed.withColumns(nearest)
 
-    def filled(c: str) -> Column:
-        before, after = F.col(f"_{c}_p"), F.col(f"_{c}_n")
-        # positions count from either end; only ratios of their differences matter
-        since, gap = F.col("_pos") - F.col(f"_{c}_p_at"), F.col(f"_{c}_n_at") - F.col(f"_{c}_p_at")
-        # on a known row both brackets are the row itself, so test that first
-        inner = F.when(F.col(c).isNotNull(), F.col(c)).when(
-            before.isNotNull() & after.isNotNull(), guard(before + (after - before) / gap * since)
-        )
-        return F.coalesce(inner, before, after) if leading else F.coalesce(inner, before)
-
-    return bracketed.select(*[filled(c).alias(c) if c in cols else F.col(f"`{c}`") for c in kept])
+    return bracketed.select(*[between(c, leading).alias(c) if c in cols else F.col(f"`{c}`") for c in kept])
 
 
 def blank_outliers(
