@@ -1,6 +1,9 @@
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import plain
 import pytest
 import zstandard
@@ -123,7 +126,7 @@ def test_blocks():
     page = '<p>a <b>b</b>c&amp;d&nbsp; e<br>f<p class="X y">g<!-- <p>no --><script>"</p>"</script>h<td title=">">i</td> 1 < 2 <li><a href=x>j</a>k'
     got = html_parse.blocks(page)
     assert [b.text for b in got] == ["a bc&d e", "f", "gh", "i", "1 < 2", "jk"]
-    assert got[2].path == (("p", "x", "y"),) and got[5].link_chars == 1
+    assert got[2].path.elements() == (("p", "x", "y"),) and got[5].link_chars == 1
     assert html_parse.blocks("") == [] and html_parse.blocks("<!-- open") == [] and html_parse.blocks("<script>x") == []
 
 
@@ -131,7 +134,7 @@ def test_formulas_and_elements_without_an_end():
     texts = lambda page: [b.text for b in html_parse.blocks(page)]
     page = "<p>so <math><mrow><mi>x</mi><mo>=</mo></mrow><mn>2</mn><annotation>x=2</annotation></math> holds</p><p>b</p>"
     assert texts(page) == ["so x=2 holds", "b"]
-    assert [b.path for b in html_parse.blocks(page)] == [(("p",),), (("p",),)]
+    assert [b.path.elements() for b in html_parse.blocks(page)] == [(("p",),), (("p",),)]
     for tag in sorted(html_parse.QUIET):
         assert texts(f"<article><p>a</p><{tag} class=k><p>b</p><p>c</p></article>") == ["a", "b", "c"]
         assert texts(f"<div>a<{tag}>b</div><p>c</p><{tag}></{tag}><p>d</p>") == ["ab", "c", "d"]
@@ -146,7 +149,7 @@ def test_formulas_and_elements_without_an_end():
 def test_labeller_gradients():
     rng, net = np.random.default_rng(1), block_lstm.BlockLSTM(seed=2)
     page = html_parse.blocks(f"<nav>menu</nav><article><h1>t</h1><p>{STORY}</article><footer>end</footer>")
-    features, labels = [block_lstm.PageFeatures(page, {}), block_lstm.PageFeatures(page[:2], {})], [np.array([0, 1, 1, 0]), np.array([0, 1])]
+    features, labels = [block_lstm.PageFeatures(page), block_lstm.PageFeatures(page[:2])], [np.array([0, 1, 1, 0]), np.array([0, 1])]
     block_lstm.WORDS_OUT, before = 0.0, block_lstm.WORDS_OUT
 
     def loss():
@@ -190,3 +193,69 @@ def test_pages_empty_and_clashing(spark):
     row = html_extract.extract_main(df).collect()[0]
     assert (row.text, row["row"], row.n_chars) == ("", 5, 0)
     assert html_extract.extract_main(df.limit(0)).count() == 0
+
+
+#: 1 MB each: deep nesting, tags without an end, short blocks, inline elements and quotes left open.
+LONG = {
+    "deep": ("<div>x" * 170_000, 170_000),
+    "tags without an end": ("<a " * 350_000, 0),
+    "short blocks": ("<p>x" * 250_000, 250_000),
+    "inline": ("x<span>" * 150_000, 150_000),
+    "open quotes": ('<a "' * 250_001 + ">x", 0),
+    "broken names": ("<a" * 500_000 + '">', 0),
+    "raw ends": ("<script>" + "</script" * 120_000, 0),
+    "list items": ("<dl><dt><div>" + "<span>" * 100_000 + "<dd>x" * 50_000, 50_000),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_pages_are_read_whole_in_linear_time(name):
+    page, n = LONG[name]
+    start = time.process_time()
+    got = html_parse.blocks(page)
+    assert time.process_time() - start < 15
+    assert sum(b.text.count("x") for b in got) == n or n == 0
+
+
+def test_a_long_page_beside_short_ones(monkeypatch, other_labeller):
+    """Batches are bounded by their padded size, and segments give the labels of the whole."""
+    one = f"<article><p>{STORY}</p></article><div class=menu><a href=/>home</a></div>"
+    pages = [html_parse.blocks(one * k) for k in (1, 3, 700, 2, 40)]
+    net = block_lstm.BlockLSTM(other_labeller.w)
+    whole = net.label(pages)
+    seen = []
+    forward = net._forward
+    monkeypatch.setattr(net, "_forward", lambda v, keep: seen.append(len(v) * max(map(len, v))) or forward(v, keep))
+    monkeypatch.setattr(block_lstm, "CELLS", 100)
+    assert all((a == b).all() for a, b in zip(net.label(pages), whole)) and any(w.any() and not w.all() for w in whole)
+    assert seen and max(seen) <= 100
+    tracemalloc.start()
+    monkeypatch.setattr(block_lstm, "CELLS", 16384)
+    deep = html_parse.blocks("<div>x" * 60_000)
+    assert len(net.label([deep, *pages])[0]) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+#: Written by hand, in layouts that the drawn pages do not have.
+OTHER = [
+    ("<body><table><tr><td class=navcol><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></td><td class=storycol><h1>{0}</h1><p>{1}</p><p>{2}</p></td></tr></table><p class=copyright>Copyright 2020</p></body>"),
+    ("<div id=page><div id=masthead><a href=/>Daily</a></div><div id=post-12 class='hentry post'><h2 class=entry-title>{0}</h2><div class=entry-content><p>{1}<p>{2}</div></div><div id=comments><h3>Replies</h3><div class=comment><p>Thanks for this.</div></div></div>"),
+    ("<main><header><h1>{0}</h1></header><section><p>{1}</p><p>{2}</p></section></main><aside class=promo><p>Buy one today, get one free.</p></aside><footer><small>Legal</small></footer>"),
+]
+
+
+@pytest.mark.parametrize("page", range(len(OTHER)))
+def test_paragraphs_of_other_layouts(other_labeller, page):
+    parts = ["Rivers in flood", STORY, "The water rose for three days. " * 4]
+    read = html_parse.blocks(OTHER[page].format(*parts))
+    text = html_extract.main_text(read, other_labeller.label([read])[0])
+    assert all(" ".join(p.split()) in text for p in parts[1:])
+    assert not any(w in text for w in ("Copyright", "Thanks for", "Buy one", "Legal", "Daily"))
+
+
+@pytest.fixture(scope="module")
+def other_labeller(sf_dir):
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")["html"].dropna()
+    return block_lstm.BlockLSTM(html_extract.learned(pages.tolist()[: html_extract.SAMPLE]))

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from zephyria.llm.html_parse import Block
+from zephyria.llm.html_parse import Block, Path
 
 PATHS, LEAVES, WORDS = 1024, 512, 512
 EMBEDDING, SCALARS, HIDDEN = 16, 6, 20
@@ -14,32 +14,61 @@ INPUT = 3 * EMBEDDING + SCALARS
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Share of word vectors left out at a time while fitting, so that paths are learned.
 WORDS_OUT = 0.7
+#: Blocks that are padded together at most; a longer page is labelled alone, so many blocks at a time.
+CELLS = 16384
+#: Blocks of one example; longer pages are learned from in several.
+SEGMENT = 512
 
 
 def bucket(word: str | bytes, size: int) -> int:
     return zlib.crc32(word.encode() if isinstance(word, str) else word) % size
 
 
+def path_counts(path: Path) -> dict[int, int]:
+    """How often each hashed word stands on the path."""
+
+    def step(above: dict[int, int], element: tuple[str, ...]) -> dict[int, int]:
+        counts = dict(above)
+        for w in element:
+            h = bucket(w, PATHS)
+            counts[h] = counts.get(h, 0) + 1
+        return counts
+
+    return path.derived("counts", {}, step)
+
+
+def leaf_counts(path: Path) -> dict[int, int]:
+    """The same for its last two elements."""
+    known = path.known.get("leaf")
+    if known is None:
+        known = path.known["leaf"] = {}
+        for e in ((path.above.element if path.above else ()), path.element):
+            for w in e:
+                h = PATHS + bucket(w, LEAVES)
+                known[h] = known.get(h, 0) + 1
+    return known
+
+
 class PageFeatures:
-    """Hashed ids and scalars of a page's blocks."""
+    """Hashed ids with their weights, and scalars, of blocks ``start`` on of a page of ``total`` blocks."""
 
-    def __init__(self, page: list[Block], cache: dict):
-        ids, owner, kinds, scalars = [], [], [], np.zeros((len(page), SCALARS), np.float32)
+    def __init__(self, page: list[Block], start: int = 0, total: int | None = None):
+        ids, owner, counts, scalars = [], [], [], np.zeros((len(page), SCALARS), np.float32)
+        total = len(page) if total is None else total
         for i, b in enumerate(page):
-            known = cache.get(b.path)
-            if known is None:
-                path = [bucket(w, PATHS) for e in b.path for w in e]
-                leaf = [PATHS + bucket(w, LEAVES) for e in b.path[-2:] for w in e]
-                known = cache[b.path] = (path or [0], leaf or [PATHS])
+            for kind, known in enumerate((path_counts(b.path) or {0: 1}, leaf_counts(b.path) or {PATHS: 1})):
+                ids += known
+                counts += known.values()
+                owner += [3 * i + kind] * len(known)
             words = b.text.encode().split()
-            hashed = [PATHS + LEAVES + zlib.crc32(w) % WORDS for w in words]
-            for kind, own in enumerate((*known, hashed)):
-                ids += own
-                owner += [3 * i + kind] * len(own)
+            ids += [PATHS + LEAVES + zlib.crc32(w) % WORDS for w in words]
+            counts += [1] * len(words)
+            owner += [3 * i + 2] * len(words)
             n = len(b.text)
-            scalars[i] = (np.log1p(len(words)) / 4, b.link_chars / n, b.text.count(".") / (1 + len(words)), len(b.path) / 8, i / len(page), 1)
+            scalars[i] = (np.log1p(len(words)) / 4, b.link_chars / n, b.text.count(".") / (1 + len(words)), min(b.path.depth, 64) / 8, (start + i) / total, 1)
         self.ids, self.owner, self.scalars = np.array(ids, np.int64), np.array(owner, np.int64), scalars
-        self.weight = (1 / np.bincount(self.owner, minlength=3 * len(page)).clip(1))[self.owner].astype(np.float32)
+        count = np.array(counts, np.float64)
+        self.weight = (count / np.bincount(self.owner, count, 3 * len(page)).clip(1)[self.owner]).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.scalars)
@@ -74,10 +103,10 @@ class BlockLSTM:
         sums[page.owner[order]] = np.add.reduceat(part, order)
         return np.hstack([sums.reshape(len(page), -1), page.scalars])
 
-    def _run(self, x: np.ndarray, name: str, keep: bool):
+    def _run(self, x: np.ndarray, name: str, keep: bool, state: tuple | None = None):
         steps, batch, _ = x.shape
         w, shift = self.w[name], self.w[name + "_shift"]
-        h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
         hidden, kept = np.empty((steps, batch, HIDDEN), np.float32), []
         from_input = (x.reshape(-1, INPUT) @ w[:INPUT]).reshape(steps, batch, -1) + shift
         for t in range(steps):
@@ -91,7 +120,7 @@ class BlockLSTM:
             hidden[t] = h
             if keep:
                 kept.append((last, before, i, f, o, new, squashed))
-        return hidden, kept
+        return hidden, kept, (h, c)
 
     def _run_back(self, x: np.ndarray, name: str, kept: list, down: np.ndarray):
         w = self.w[name]
@@ -122,23 +151,51 @@ class BlockLSTM:
         for b, v in enumerate(vectors):
             x[: len(v), b] = v
         flip, column = self._flip(lengths, len(x)), np.arange(len(vectors))
-        ahead, kept_a = self._run(x, "ahead", keep)
+        ahead, kept_a, _ = self._run(x, "ahead", keep)
         turned = x[flip, column]
-        back, kept_b = self._run(turned, "back", keep)
+        back, kept_b, _ = self._run(turned, "back", keep)
         joined = np.concatenate([ahead, back[flip, column], x], axis=2)
         return joined, sigmoid(joined @ self.w["out"] + self.w["bias"]), (x, turned, flip, column, lengths, kept_a, kept_b)
 
-    def label(self, pages: list[PageFeatures]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Whether each block of each page is main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = [i for i in np.argsort([len(p) for p in pages], kind="stable").tolist() if len(pages[i])]
-        for a in range(0, len(order), 64):
-            mine = order[a : a + 64]
-            _, score, _ = self._forward([self.vectors(pages[i]) for i in mine], False)
-            for b, i in enumerate(mine):
-                out[i] = score[: len(pages[i]), b] >= 0.5
+        order = [i for i in np.argsort([len(p) for p in pages], kind="stable").tolist() if pages[i]]
+        mine: list[int] = []
+        for i in order:
+            # pages come by length, so the next one is what the batch would be padded to
+            if mine and (len(mine) == 64 or (len(mine) + 1) * len(pages[i]) > CELLS):
+                self._label_batch(pages, mine, out)
+                mine = []
+            if len(pages[i]) > CELLS:
+                out[i] = self._label_long(pages[i])
+            else:
+                mine.append(i)
+        if mine:
+            self._label_batch(pages, mine, out)
         return out
 
+    def _label_batch(self, pages: list[list[Block]], mine: list[int], out: list[np.ndarray]) -> None:
+        _, score, _ = self._forward([self.vectors(PageFeatures(pages[i])) for i in mine], False)
+        for b, i in enumerate(mine):
+            out[i] = score[: len(pages[i]), b] >= 0.5
+
+    def _label_long(self, page: list[Block]) -> np.ndarray:
+        """Both passes a segment at a time, the state handed on; of the backward pass a number a block is kept."""
+        score, w = np.zeros(len(page), np.float32), self.w["out"]
+        starts = range(0, len(page), CELLS)
+        read = lambda a: self.vectors(PageFeatures(page[a : a + CELLS], a, len(page)))[:, None, :]
+        state = None
+        for a in reversed(starts):
+            hidden, _, state = self._run(read(a)[::-1], "back", False, state)
+            score[a : a + CELLS] = (hidden[::-1, 0] @ w[HIDDEN : 2 * HIDDEN])
+        state = None
+        for a in starts:
+            x = read(a)
+            hidden, _, state = self._run(x, "ahead", False, state)
+            score[a : a + CELLS] += hidden[:, 0] @ w[:HIDDEN] + x[:, 0] @ w[2 * HIDDEN :]
+        return sigmoid(score + self.w["bias"]) >= 0.5
+
     def gradients(self, pages: list[PageFeatures], labels: list[np.ndarray], rng: np.random.Generator) -> dict[str, np.ndarray]:
         kept = []
         for p in pages:
