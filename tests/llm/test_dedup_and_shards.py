@@ -66,3 +66,19 @@ def test_shards_of_one_repeated_id(spark):
     assert len(out) == 220 and max(size.values()) <= 1000
     assert all(r.shard_bytes == size[r.shard] for r in out)
     assert sharding.shard_report(frame(spark, []), 1000).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [2, 64])
+def test_kept_rows_are_whole_and_texts_move_once(spark, frequent):
+    rng = random.Random(2)
+    texts = ["a b", "a \t\n b", "", None, "x" * 5000, "A b"]
+    rows = [(i, rng.choice(texts), i * 2) for i in rng.sample(range(5000), 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long")
+    kept = exact_dedup.keep_first(docs, frequent=frequent)
+    want = {k for k, _, _ in plain.exact([r[:2] for r in rows]).values()}
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in want)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    repeated = docs.unionByName(docs.limit(50))
+    again = exact_dedup.keep_first(repeated, frequent=frequent).collect()
+    assert {r.doc_id for r in again} == want and len(again) == len(want)

@@ -119,7 +119,16 @@ def duplicate_report(docs: DataFrame, tracked: int = TRACKED, frequent: int = FR
 
 
 def keep_first(docs: DataFrame, tracked: int = TRACKED, frequent: int = FREQUENT) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns unchanged."""
-    _, winners = digests_and_winners(docs, tracked, frequent)
+    """``docs`` with one row of each group of equal texts, columns unchanged.
+
+    Where doc_id names a row, all is decided on stored digests, and texts are read once
+    more and moved once, to leave without the rows that go.
+    """
+    digests, winners = digests_and_winners(docs, tracked, frequent)
+    ids = digests.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids.n == ids.known == ids.ids:
+        gone = mark_duplicates(digests, winners).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+        rows = boxed(docs, doc_id=F.col("doc_id")).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+        return unboxed(rows, docs.columns)
     rows = boxed(docs, doc_id=F.col("doc_id"), digest=text_digest(text_of()))
     return unboxed(mark_duplicates(rows, winners).where("kept"), docs.columns)
