@@ -146,9 +146,12 @@ def passages(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1 << 21), (2, 2000), (3, 400)])
-def test_covered_bytes(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, hot, many", [(1, 1 << 21, 1 << 18, 8), (2, 2000, 1500, 1), (3, 400, 0, 0), (4, 1 << 20, 300, 2)])
+def test_covered_bytes(spark, monkeypatch, seed, block, hot, many):
+    """Also where routes are hot: counted by one piece a task, windows met by their own hashes."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(suffix_dedup, "ROUTE_PIECES", many)
     monkeypatch.setattr(suffix_dedup, "PIECE_WINDOWS", 300)
     rows = passages(seed)
     got = {r.doc_id: r for r in suffix_dedup.repeat_report(spark.createDataFrame(rows, SCHEMA)).collect()}

@@ -10,8 +10,10 @@
    (``repeat_index``) gives matching statistics and the first place of each window.
 4. Covered spans return to their documents, which cut them out.
 
-A route with more bytes than a block is indexed block by block, with the hashes of
-the windows of earlier blocks kept beside it.
+A route that many different pieces have is never one task's work: of those of a task,
+one stands for the route where routes are counted and the others go by their content;
+where the pieces of a route have more than ``HOT_BYTES``, their windows meet by their
+own hashes (128 bits) instead of in an index, equal ones of a task first.
 
 Defined cases: null text is the empty text; texts under 100 bytes lose nothing; where
 ids are null or repeat, rows count as documents of their own, null ids first, equal
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +49,13 @@ BLOCK_BYTES = 1 << 20
 #: Pieces among which a task tells equal ones before it hands them on.
 TOGETHER = 400_000
 
-PIECES = "route long, content long, doc long, start long, windows long, inner boolean, copy boolean"
+#: Different pieces of one route that a task sends the common way as they are.
+ROUTE_PIECES = 8
+#: Bytes of one route that go to one index, and hot routes at most that are broadcast.
+HOT_BYTES = 1 << 18
+BROADCAST_ROUTES = 1 << 16
+
+PIECES = "route long, home long, content long, doc long, start long, windows long, inner boolean, copy boolean"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -104,7 +113,9 @@ def routed_pieces(keyed: DataFrame) -> DataFrame:
 
     A piece that equals an earlier one of the same task is a ``copy``, whatever else
     there is. It needs no other piece, so it gets a route of its own; of a passage in
-    very many documents, only one piece a task goes the common way.
+    very many documents, only one piece a task goes the common way. Likewise, of many
+    different pieces with one route (``home``) all but one go by route and content: that
+    the route repeats is known of them (``inner``), and the one tells it to other tasks.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +138,17 @@ def routed_pieces(keyed: DataFrame) -> DataFrame:
         route, content, doc, start, windows, inner = (c[order] for c in columns)
         copy = np.zeros(len(route), bool)
         copy[1:] = (route[1:] == route[:-1]) & (content[1:] == content[:-1])
+        opens = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]])[: len(route)])
+        sizes = np.diff(np.append(opens, len(route)))
+        different = np.add.reduceat((~copy).astype(np.int64), opens) if len(opens) else sizes
+        moved = ~copy & np.repeat(different > ROUTE_PIECES, sizes)
+        inner = inner | moved
+        moved[opens] = False
+        home = pa.array(route.view(np.int64), mask=~moved)
         route = np.where(copy, mixed(doc.astype(np.uint64) * M1 + start.astype(np.uint64)), route)
-        arrays = [route.view(np.int64), content.view(np.int64), doc, start, windows, inner, copy]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["route", "content", "doc", "start", "windows", "inner", "copy"])
+        route = np.where(moved, mixed(route * M3 ^ content), route)
+        arrays = [pa.array(route.view(np.int64)), home, *map(pa.array, (content.view(np.int64), doc, start, windows, inner, copy))]
+        return pa.RecordBatch.from_arrays(arrays, names=["route", "home", "content", "doc", "start", "windows", "inner", "copy"])
 
     return keyed.select("doc", "text").mapInArrow(cut, PIECES)
 
@@ -141,26 +160,84 @@ def repeated_pieces(pieces: DataFrame) -> DataFrame:
         pieces.withColumn("place", F.row_number().over(by_content))
         .withColumn("n", F.count(F.lit(1)).over(by_route))
         .where("n > 1 or inner or copy")
-        .select("route", "doc", "start", "windows", (~F.col("copy") & (F.col("place") == 1)).alias("first"))
+        .select(F.coalesce("home", "route").alias("route"), "doc", "start", "windows", (~F.col("copy") & (F.col("place") == 1)).alias("first"))
     )
 
 
+def hot_routes(firsts: DataFrame) -> DataFrame:
+    """``firsts`` with ``hot``: whether the pieces of the route are more than one index takes."""
+    sizes = firsts.groupBy("route").agg(F.sum(F.col("windows") + (WIDTH - 1)).alias("bytes"))
+    hot = stored(sizes.where(F.col("bytes") > HOT_BYTES).select("route", F.lit(True).alias("hot")), "hot-routes")
+    found = hot.count()
+    if not found:
+        return firsts.withColumn("hot", F.lit(False))
+    joined = firsts.join(hot.hint("broadcast" if found <= BROADCAST_ROUTES else "merge"), "route", "left")
+    return joined.withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def window_prints(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(two hashes, doc, start) of each window of (doc, start, bytes), equal ones together and in order."""
+    lengths = np.fromiter((len(p[2]) for p in pieces), np.int64, len(pieces))
+    windows = lengths - (WIDTH - 1)
+    within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = within + np.repeat(np.cumsum(lengths) - lengths, windows)
+    h = gram_hashes(np.frombuffer(b"".join(p[2] for p in pieces), np.uint8))
+    grams = np.full(len(at), WIDTH - GRAM + 1)
+    one, two = (stretch_hash(prefix_sums(x), at, grams) for x in (h, mixed(h * M3 + M2)))
+    doc = np.repeat(np.array([p[0] for p in pieces], np.int64), windows)
+    start = within + np.repeat(np.array([p[1] for p in pieces], np.int64), windows)
+    order = np.lexsort((start, doc, two, one))
+    return tuple(x[order] for x in (one.view(np.int64), two.view(np.int64), doc, start))
+
+
+def repeated_before(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which members of sorted pairs equal the one before."""
+    again = np.zeros(len(one), bool)
+    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    return again
+
+
+PLACED = "route long, doc long, start long, data binary, print long"
+
+
 def with_bytes(firsts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The pieces (route, doc, start, windows) with their bytes."""
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("route", "start", "windows")).alias("wanted"))
+    """What is to meet by ``route``: pieces with their bytes, or windows of hot routes with a second hash.
+
+    A window that a task has seen before comes with neither: it is covered.
+    """
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("route", "start", "windows", "hot")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, size = [], 0
         for batch in batches:
             rows = []
             for doc, text, pieces in zip(*(batch.column(i) for i in range(3))):
                 data, doc = text.as_py().encode(), doc.as_py()
                 for p in pieces.as_py():
-                    rows.append((p["route"], doc, p["start"], data[p["start"] : p["start"] + p["windows"] + WIDTH - 1]))
+                    own = data[p["start"] : p["start"] + p["windows"] + WIDTH - 1]
+                    if p["hot"]:
+                        hot.append((doc, p["start"], own))
+                        size += len(own)
+                    else:
+                        rows.append((p["route"], doc, p["start"], own))
+                if size >= BLOCK_BYTES:
+                    yield prints_of(hot)
+                    hot, size = [], 0
             route, doc, start, data = zip(*rows) if rows else ([],) * 4
-            arrays = [pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["route", "doc", "start", "data"])
+            yield placed(pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary()), pa.nulls(len(rows), pa.int64()))
+        if hot:
+            yield prints_of(hot)
+
+    def placed(*arrays: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(arrays), names=["route", "doc", "start", "data", "print"])
 
-    return keyed.select("doc", "text").join(wanted, "doc").mapInArrow(fetch, "route long, doc long, start long, data binary")
+    def prints_of(hot: list) -> pa.RecordBatch:
+        one, two, doc, start = window_prints(hot)
+        again = repeated_before(one, two)
+        apart = mixed(doc.view(np.uint64) * M1 + start.view(np.uint64)).view(np.int64)
+        return placed(pa.array(np.where(again, apart, one)), pa.array(doc), pa.array(start), pa.nulls(len(one), pa.binary()), pa.array(two, mask=again))
+
+    return keyed.select("doc", "text").join(wanted, "doc").mapInArrow(fetch, PLACED)
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,83 +246,65 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-class Seen:
-    """Window hashes of a route's earlier blocks."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(hashes), bool)
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level, hashes), len(level) - 1)
-            found |= level[at] == hashes
-        return found
-
-    def add(self, hashes: np.ndarray) -> None:
-        self.levels.append(np.unique(hashes))
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            self.levels.append(np.union1d(self.levels.pop(), self.levels.pop()))
-
-
-def covered_windows(pieces: list[bytes], seen: Seen | None = None) -> np.ndarray:
-    """Positions in the joined pieces whose window came before (there or in ``seen``)."""
+def covered_windows(pieces: list[bytes]) -> np.ndarray:
+    """Positions in the joined pieces whose window came before."""
     index = RepeatIndex(pieces)
     at = np.arange(len(index.text))
-    whole = at + WIDTH <= index.ends
-    again = whole & (index.sources(WIDTH) < at)
-    if seen is not None:
-        h = gram_hashes(index.text)
-        starts = np.flatnonzero(whole & ~again)
-        hashes = np.empty(len(starts), np.uint64)
-        for a in range(0, len(h), HASH_BYTES // 2):
-            mine = (starts >= a) & (starts < a + HASH_BYTES // 2)
-            sums = prefix_sums(h[a : a + HASH_BYTES])
-            hashes[mine] = stretch_hash(sums, starts[mine] - a, np.full(int(mine.sum()), WIDTH - GRAM + 1))
-        again[starts] |= seen.has(hashes)
-        seen.add(hashes)
-    return again
+    return (at + WIDTH <= index.ends) & (index.sources(WIDTH) < at)
 
 
 def indexed_spans(pieces: DataFrame) -> DataFrame:
-    """Spans (doc, start, end) of windows that came before, from pieces with bytes."""
+    """Spans (doc, start, end) of windows that came before, from pieces and windows that meet by route."""
+
+    def out(doc, start, end) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc", "start", "end"])
 
-    def spans(batch: list[tuple[int, int, bytes]], seen: Seen | None) -> pa.RecordBatch:
-        data = [p[2] for p in batch]
-        first, last = runs_of(covered_windows(data, seen))
+    def spans(block: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        data = [p[2] for p in block]
+        first, last = runs_of(covered_windows(data))
         lengths = np.fromiter(map(len, data), np.int64, len(data))
         begins = np.cumsum(lengths) - lengths
         # a run never leaves its piece: a piece's last 99 bytes start no window
         owner = np.searchsorted(begins, first, "right") - 1
-        doc = np.array([p[0] for p in batch], np.int64)[owner]
-        shift = np.array([p[1] for p in batch], np.int64)[owner] - begins[owner]
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first + shift), pa.array(last - 1 + shift + WIDTH)], names=["doc", "start", "end"])
+        doc = np.array([p[0] for p in block], np.int64)[owner]
+        shift = np.array([p[1] for p in block], np.int64)[owner] - begins[owner]
+        return out(doc, first + shift, last - 1 + shift + WIDTH)
+
+    def windows(batch: pa.RecordBatch, known: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, set[tuple[int, int]]]:
+        """Documents and places of covered windows, and the pairs of hashes that the next batch may go on with."""
+        one, doc, start = (batch.column(i).to_numpy() for i in range(3))
+        # two windows of one route with different second hashes may take turns
+        order = np.lexsort((start, doc, batch.column("print").to_numpy(), one))
+        one, two, doc, start = one[order], batch.column("print").to_numpy()[order], doc[order], start[order]
+        again = repeated_before(one, two)
+        for i in np.flatnonzero(one == one[0]) if known else ():
+            again[i] |= (int(one[i]), int(two[i])) in known
+        last = np.flatnonzero(one == one[-1])
+        held = {(int(a), int(b)) for a, b in zip(one[last], np.unique(two[last]))}
+        return doc[again], start[again], held | {k for k in known if k[0] == int(one[-1])}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple[int, int, bytes]] = []
-        size, route, begun, seen = 0, None, 0, None
+        size, route, known = 0, None, set()
         for batch in batches:
-            for r, doc, start, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if r != route:
-                    if seen is not None or size >= BLOCK_BYTES:
-                        if block:
-                            yield spans(block, seen)
-                        block, size = [], 0
-                    route, begun, seen = r, len(block), None
-                elif size >= BLOCK_BYTES:
-                    # the route alone is larger than a block
-                    if begun:
-                        yield spans(block[:begun], None)
-                        block, begun = block[begun:], 0
-                        size = sum(len(p[2]) for p in block)
-                    if size >= BLOCK_BYTES:
-                        seen = Seen() if seen is None else seen
-                        yield spans(block, seen)
-                        block, size = [], 0
+            whole, hashed = pc.is_valid(batch.column("data")), pc.is_valid(batch.column("print"))
+            some = batch.filter(pc.invert(pc.or_(whole, hashed)))
+            if some.num_rows:
+                start = some.column("start").to_numpy()
+                yield out(some.column("doc"), start, start + WIDTH)
+            some = batch.filter(hashed)
+            if some.num_rows:
+                doc, start, known = windows(some, known)
+                yield out(doc, start, start + WIDTH)
+            for r, doc, start, data in zip(*(batch.filter(whole).column(i).to_pylist() for i in range(4))):
+                if r != route and size >= BLOCK_BYTES:
+                    yield spans(block)
+                    block, size = [], 0
+                route = r
                 block.append((doc, start, data))
                 size += len(data)
         if block:
-            yield spans(block, seen)
+            yield spans(block)
 
     placed = pieces.repartition("route").sortWithinPartitions("route", "doc", "start")
     return placed.mapInArrow(index, "doc long, start long, end long")
@@ -255,7 +314,7 @@ def repeat_spans(keyed: DataFrame) -> DataFrame:
     """(doc, spans): the covered stretches of each document that has any; they may overlap."""
     again = stored(repeated_pieces(routed_pieces(keyed)), "repeated-pieces")
     copies = again.where("not first").select("doc", "start", (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("end"))
-    found = indexed_spans(with_bytes(again.where("first"), keyed))
+    found = indexed_spans(with_bytes(hot_routes(again.where("first").drop("first")), keyed))
     return copies.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
