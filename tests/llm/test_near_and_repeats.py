@@ -6,6 +6,7 @@ import plain
 import pytest
 
 from zephyria.llm import ngram_join, repeat_index, shingles, suffix_dedup
+from zephyria.llm.common import importable_on_workers, with_keys
 from zephyria.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -103,6 +104,16 @@ def test_near_ids_null_and_repeated(spark):
     assert ngram_join.near_duplicate_report(df.limit(0)).count() == 0
 
 
+def test_a_shingle_of_all_sets_reaches_its_bucket_once_a_pack(spark):
+    rows = [(i, "a b c d e " + " ".join(f"w{i}x{j}" for j in range(6)), "x") for i in range(90)]
+    keyed = with_keys(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3))
+    importable_on_workers(spark)
+    packs = ngram_join.packed_shingles(keyed, 4).collect()
+    often = [r for r in packs if r["kind"] == ngram_join.OFTEN]
+    assert len(often) == 3 and {len(r["body"]) for r in often} == {8}
+    assert sum(int.from_bytes(r["body"][4:], "little") for r in often) == 90
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]

@@ -67,9 +67,14 @@ def unboxed(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
 
 def with_keys(docs: DataFrame) -> DataFrame:
     """(row key in order of doc_id, doc_id, text); the key is doc_id where that is sound."""
+    return keyed_rows(docs)[0]
+
+
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The same, and whether the keys are the ids."""
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids")).first()
     rows = docs.withColumn("text", text_of())
     if ids.n == ids.known == ids.ids:
-        return rows.withColumn("doc", F.col("doc_id").cast("long"))
+        return rows.withColumn("doc", F.col("doc_id").cast("long")), True
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("doc", F.monotonically_increasing_id())
-    return stored(ordered, "keyed-documents")
+    return stored(ordered, "keyed-documents"), False

@@ -7,7 +7,8 @@ set's first shingles are those that no other set has, and only sets of which 80
 elsewhere get into the index at all.
 
 1. Each set's shingles are cut to 32 bits and dealt to buckets in packed blocks; a
-   bucket counts them and returns those that more than one set has.
+   bucket counts them and returns those that more than one set has. A shingle that
+   several sets of a block have goes there once, with its count, whatever their number.
 2. A set whose prefix reaches shared shingles indexes them. Its cost is the number of
    candidates that they promise; the prefix is longer, and l higher, the higher the cost.
 3. Sets that share an index entry form clusters. A cluster's sets meet in blocks of
@@ -35,8 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from zephyria.llm.common import dropped, importable_on_workers, stored, with_keys
+from zephyria.llm.common import dropped, importable_on_workers, keyed_rows, stored, with_keys
 from zephyria.llm.components import components
 from zephyria.llm.shingles import set_print, shingle_set
 
@@ -57,7 +59,10 @@ DENSE = 24
 DENSE_COLUMNS = 8192
 
 PASS = "kind int, bucket long, pack long, body binary, doc long, n long, print1 long, print2 long"
-PACKED = "pack long, bucket long, body binary"
+PACKED = "kind int, pack long, bucket long, body binary"
+#: Kinds of rows: a document's set; shingles that one set of a pack has; the pack's sets;
+#: shingles that several have, with counts; which sets those are.
+SET, ONCE, HEAD, OFTEN, OWNERS = range(5)
 ENTRY = "print1 long, print2 long, token long, matches int"
 
 
@@ -94,8 +99,24 @@ def parts_of(body: bytes, width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
     return owner, np.frombuffer(body, "<u4", n, 2 * n), body[6 * n :]
 
 
+def same_bucket(token: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of tokens, in order, that have one bucket."""
+    if not len(token):
+        return []
+    first = np.flatnonzero(np.diff(token >> 32, prepend=-1))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(token)]))
+
+
+def halves(token: np.ndarray) -> bytes:
+    return (token & 0xFFFFFFFF).astype("<u4").tobytes()
+
+
+def log_weight(df: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.log2(df) * 8).astype(np.uint8)
+
+
 def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: each row's set; kind 1: packed shingles by bucket; kind 2: the sets of a pack."""
+    """Each row's set, packed shingles by bucket, and the sets of each pack, told by ``kind``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packs = TaskContext.get().partitionId(), 0
@@ -124,20 +145,30 @@ def packed_shingles(keyed: DataFrame, buckets: int) -> DataFrame:
     def plain(docs: list[tuple]) -> pa.RecordBatch:
         own = [pa.array(c, pa.int64()) for c in zip(*docs)]
         none = [pa.nulls(len(docs), t) for t in types[1:4]]
-        return pa.RecordBatch.from_arrays([pa.array([0] * len(docs), pa.int32()), *none, *own], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([SET] * len(docs), pa.int32()), *none, *own], names=names)
 
     def packed(held: dict, pack: int) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, held.values()), np.int64, len(held))
         shingles, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), sizes)
         bucket = ((shingles >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, owner, short = bucket[order], owner[order], shingles[order].astype(np.uint32)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        token = bucket << 32 | (shingles & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        names_of, place, counts = np.unique(token, return_inverse=True, return_counts=True)
+        often = counts > 1
+        shared = names_of[often]
         rows = []
-        for a, b in zip(first, np.append(first[1:], len(bucket))):
-            rows.append((1, int(bucket[a]), pack, body_of(owner[a:b], short[a:b])))
+        for a, b in same_bucket(shared):
+            rows.append((OFTEN, int(shared[a] >> 32), pack, halves(shared[a:b]) + counts[often][a:b].astype("<u4").tobytes()))
+        mine = often[place]
+        by_token = np.argsort(place[mine], kind="stable")
+        heads = np.array([len(shared)], "<i8").tobytes() + shared.astype("<i8").tobytes() + counts[often].astype("<u4").tobytes()
+        rows.append((OWNERS, None, pack, heads + owner[mine][by_token].astype("<u2").tobytes()))
+        token, owner = token[~mine], owner[~mine]
+        order = np.argsort(token >> 32, kind="stable")
+        token, owner = token[order], owner[order]
+        for a, b in same_bucket(token):
+            rows.append((ONCE, int(token[a] >> 32), pack, body_of(owner[a:b], token[a:b] & 0xFFFFFFFF)))
         head = np.array([[len(s), *p] for p, s in held.items()], "<i8")
-        rows.append((2, None, pack, head.tobytes()))
+        rows.append((HEAD, None, pack, head.tobytes()))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), t) for t in types[4:]]], names=names)
 
@@ -148,16 +179,25 @@ def shared_shingles(packs: DataFrame) -> DataFrame:
     """The packed shingles of each bucket that occur in more than one set, with their weight."""
 
     def count(table: pa.Table) -> pa.Table:
-        bodies = [parts_of(b, 6)[:2] for b in table.column("body").to_pylist()]
-        _, inverse, counts = np.unique(np.concatenate([t for _, t in bodies]), return_inverse=True, return_counts=True)
-        found, out, at = counts[inverse], [], 0
-        for owner, tokens in bodies:
-            df = found[at : at + len(tokens)]
-            at += len(tokens)
+        kinds, bodies, owners, tokens, counts = table.column("kind").to_pylist(), table.column("body").to_pylist(), [], [], []
+        for kind, body in zip(kinds, bodies):
+            if kind == ONCE:
+                owner, short, _ = parts_of(body, 6)
+                often = np.ones(len(short), np.uint32)
+            else:
+                owner, (short, often) = None, np.frombuffer(body, "<u4").reshape(2, -1)
+            owners.append(owner)
+            tokens.append(short)
+            counts.append(often)
+        _, place = np.unique(np.concatenate(tokens), return_inverse=True)
+        found, out, at = np.bincount(place, np.concatenate(counts))[place], [], 0
+        for owner, short in zip(owners, tokens):
+            df = found[at : at + len(short)]
+            at += len(short)
             again = df > 1
-            weight = np.minimum(255, np.log2(df[again]) * 8).astype(np.uint8)
-            out.append(body_of(owner[again], tokens[again]) + weight.tobytes())
-        return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "body": pa.array(out, pa.binary())})
+            body = short.tobytes() if owner is None else body_of(owner[again], short[again])
+            out.append(body + log_weight(df[again]).tobytes())
+        return pa.table({c: table.column(c) for c in ("kind", "pack", "bucket")} | {"body": pa.array(out, pa.binary())})
 
     return packs.groupBy("bucket").applyInArrow(count, PACKED)
 
@@ -165,19 +205,36 @@ def shared_shingles(packs: DataFrame) -> DataFrame:
 def index_entries(shared: DataFrame, heads: DataFrame) -> DataFrame:
     """(print1, print2, token, matches): the shared shingles in each set's prefix."""
 
+    def often_of(body: bytes, known: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sets, tokens and weights of the shingles that several sets of the pack have."""
+        n = int(np.frombuffer(body, "<i8", 1)[0])
+        token, counts = np.frombuffer(body, "<i8", n, 8), np.frombuffer(body, "<u4", n, 8 + 8 * n)
+        owner = np.frombuffer(body, "<u2", -1, 8 + 12 * n).astype(np.int64)
+        order = np.argsort(known)  # every one of the pack's tokens came back, by bucket
+        return owner, np.repeat(token, counts), np.repeat(weight[order], counts)
+
     def gather(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "body"))))
-        head = next(np.frombuffer(b, "<i8").reshape(-1, 3) for k, b in rows if k is None)
-        m, owners, tokens, weights = len(head), [], [], []
-        for bucket, body in rows:
-            if bucket is None:
-                continue
-            own, short, weight = parts_of(body, 7)
-            owners.append(own)
-            tokens.append(short.astype(np.int64) | bucket << 32)
-            weights.append(np.frombuffer(weight, np.uint8))
-        owner, token, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, tokens, weights))
-        n, k = head[:, 0], np.bincount(owner, minlength=m)
+        head, often, owners, tokens, weights = None, None, [], [], []
+        known, known_weights = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for kind, bucket, body in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "body"))):
+            if kind == HEAD:
+                head = np.frombuffer(body, "<i8").reshape(-1, 3)
+            elif kind == OWNERS:
+                often = body
+            elif kind == OFTEN:
+                n = len(body) // 5
+                known.append(np.frombuffer(body, "<u4", n).astype(np.int64) | bucket << 32)
+                known_weights.append(np.frombuffer(body, np.uint8, n, 4 * n))
+            else:
+                own, short, weight = parts_of(body, 7)
+                owners.append(own)
+                tokens.append(short.astype(np.int64) | bucket << 32)
+                weights.append(np.frombuffer(weight, np.uint8))
+        for to, x in zip((owners, tokens, weights), often_of(often, np.concatenate(known), np.concatenate(known_weights))):
+            to.append(x)
+        owner, token, weight = (np.concatenate(x) for x in (owners, tokens, weights))
+        m, n = len(head), head[:, 0]
+        k = np.bincount(owner, minlength=m)
         reach = k - overlap_needed(n) + 1  # shared shingles in the shortest prefix
         owner, token, weight = (x[reach[owner] > 0] for x in (owner, token, weight))
         order = np.lexsort((token, weight, owner))
@@ -190,7 +247,7 @@ def index_entries(shared: DataFrame, heads: DataFrame) -> DataFrame:
         owner, token = owner[used], token[used]
         return pa.table({"print1": head[owner, 1], "print2": head[owner, 2], "token": token, "matches": matches[owner].astype(np.int32)})
 
-    parts = shared.unionByName(heads.select("pack", F.lit(None).cast("long").alias("bucket"), "body"))
+    parts = shared.unionByName(heads.select("kind", "pack", F.lit(None).cast("long").alias("bucket"), "body"))
     return parts.groupBy("pack").applyInArrow(gather, ENTRY)
 
 
@@ -350,9 +407,9 @@ def linked_documents(keyed: DataFrame) -> DataFrame:
     """(doc, n_shingles, component): the least row key that each row's set is linked with."""
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scanned = stored(packed_shingles(keyed, max(BUCKETS, -(-total // BUCKET_BYTES))), "shingles")
-    rows = stored(scanned.where("kind = 0").select("doc", "n", "print1", "print2"), "rows")
-    heads = scanned.where("kind = 2").select("pack", "body")
-    shared = shared_shingles(scanned.where("kind = 1").select("pack", "bucket", "body"))
+    rows = stored(scanned.where(F.col("kind") == SET).select("doc", "n", "print1", "print2"), "rows")
+    heads = scanned.where(F.col("kind").isin(HEAD, OWNERS)).select("kind", "pack", "body")
+    shared = shared_shingles(scanned.where(F.col("kind").isin(ONCE, OFTEN)).select("kind", "pack", "bucket", "body"))
     entries = stored(index_entries(shared, heads), "entries")
     dropped(scanned)  # about as large as the input, and read for the last time
     sets = stored(rows.where("n > 0").groupBy("print1", "print2").agg(F.min("doc").alias("first")), "sets")
@@ -365,8 +422,12 @@ def linked_documents(keyed: DataFrame) -> DataFrame:
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of ``docs``."""
     importable_on_workers(docs.sparkSession)
-    keyed = with_keys(docs.select("doc_id", "text"))
-    found = stored(linked_documents(keyed), "linked")
+    keyed, sound = keyed_rows(docs.select("doc_id", "text"))
+    found = linked_documents(keyed)
+    kind = docs.schema["doc_id"].dataType
+    if sound and isinstance(kind, T.IntegralType):  # the row keys are the ids
+        return found.select(F.col("doc").cast(kind).alias("doc_id"), "n_shingles", F.col("component").cast(kind).alias("component_id"))
+    found = stored(found, "linked")
     ids = keyed.select("doc", "doc_id")
     named = found.join(ids, "doc")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
