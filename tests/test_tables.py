@@ -288,3 +288,33 @@ def test_days_of_any_parameter(spark, tmp_path):
     (tmp_path / "feed.json").write_text(doc)
     rows = {str(r.date): (r.humidity, r.pressure) for r in feeds.parameter_feed(spark, str(tmp_path / "feed.json")).collect()}
     assert rows == {"2020-01-01": (50.0, None), "2020-01-02": (None, 100.1)}
+
+
+def test_columns_of_a_row_alone_are_not_moved(spark, tmp_path):
+    """What ``then`` adds is worked out behind the shuffle that gathers the years."""
+    seen = []
+    df = spark.range(20).select("id", (F.col("id") % 2 + 2020).cast("int").alias("year"))
+
+    def then(gathered):
+        seen.append(gathered)
+        return gathered.withColumn("double", F.col("id") * 2)
+
+    tables.write_table(df, str(tmp_path / "t"), then=then)
+    assert "rebalance" in seen[0]._jdf.queryExecution().logical().toString().lower()
+    back = spark.read.parquet(tables.current(spark, str(tmp_path / "t")))
+    assert sorted((r["id"], r["double"], r["year"]) for r in back.collect()) == [(i, 2 * i, 2020 + i % 2) for i in range(20)]
+
+
+def test_risk_scores_are_not_moved(spark, tmp_path, monkeypatch):
+    handed = {}
+
+    def kept(df, path, *a, then=None, **k):
+        handed["before"], handed["after"] = df.columns, then(df).columns
+        raise StopIteration
+
+    stored = spark.createDataFrame([(1, 30.0, 50.0, 2020)], "station_id int, temperature_mean double, aqi double, year int")
+    monkeypatch.setattr(jobs, "best_daily", lambda *a: stored)
+    monkeypatch.setattr(jobs, "write_table", kept)
+    with pytest.raises(StopIteration):
+        jobs.risks(spark, str(tmp_path))
+    assert "health_risk_score" not in handed["before"] and "health_risk_score" in handed["after"]

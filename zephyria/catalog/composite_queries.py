@@ -111,9 +111,9 @@ def _long_sql(report: str, name: str, keys, values) -> str:
 def seasonal_job(spark, sf):
     """All six reports of the job in long form, over a stored table that includes air quality."""
     root = scratch_path(spark, "project")
-    days = daily.label_weather(warehouse.add_calendar(obs(spark, sf)))
     risk = classes.dengue_risk(F.col("temperature_mean"), F.col("rainfall"), F.col("humidity"))
-    write_table(days.withColumn("dengue_risk", risk), jobs.processed(root, "merged_dataset"))
+    labelled = lambda days: daily.label_weather(warehouse.add_calendar(days)).withColumn("dengue_risk", risk)
+    write_table(obs(spark, sf).withColumn("year", F.year("date")), jobs.processed(root, "merged_dataset"), then=labelled)
     reports = jobs.seasonal(spark, root)
     out = None
     for report, (_, keys, values) in _REPORTS.items():

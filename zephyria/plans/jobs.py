@@ -79,7 +79,7 @@ def risks(spark: SparkSession, root: str) -> DataFrame | None:
     if "aqi" not in table.columns:
         air = find(spark, raw(root, "aqi"), schemas.AIR)
         table = table if air is None else attach_air(table, air)
-    write_table(daily.score_health(table), processed(root, "health_risks"))
+    write_table(table, processed(root, "health_risks"), then=daily.score_health)
     return _stored(spark, processed(root, "health_risks"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -118,12 +118,17 @@ def current(spark: SparkSession, path: str) -> str:
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = ("year",), fmt: str = "parquet"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = ("year",),
+    fmt: str = "parquet",
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Replace the table at ``path``. Parquet is laid out by year so year filters prune files.
 
     Rows are gathered by year and the parts balanced by their measured bytes, so files
-    neither stay tiny nor hold a year of any size. The table is written as a version of
+    neither stay tiny nor hold a year of any size. ``then`` adds columns that depend on
+    their row alone; they are worked out where rows are written and are not moved. The table is written as a version of
     its own; creating the pointer to it publishes it, in one step. Before that a reader,
     or whoever comes after a crash, has the version before, which is kept as long as
     this one is the newest, for readers who have opened it. Read with ``find`` or ``scan``.
@@ -131,7 +136,8 @@ def write_table(
     keys = [] if fmt == "csv" else [c for c in partition_by if c in df.columns]
     spark, root = df.sparkSession, path.rstrip("/")
     name = uuid.uuid4().hex
-    writer = (df.hint("rebalance", *keys) if keys else df).write.format(fmt)
+    gathered = df.hint("rebalance", *keys) if keys else df
+    writer = (then(gathered) if then else gathered).write.format(fmt)
     writer = writer.option("header", True) if fmt == "csv" else writer
     (writer.partitionBy(*keys) if keys else writer).save(f"{root}/{VERSION}{name}")
     publish(spark, root, name)
