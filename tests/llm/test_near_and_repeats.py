@@ -4,6 +4,7 @@ import random
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from zephyria.llm import ngram_join, repeat_index, shingles, suffix_dedup
 from zephyria.llm.common import importable_on_workers, with_keys
@@ -192,3 +193,14 @@ def test_repeats_ids_null_and_repeated(spark):
     cut = {r.spans: r.text for r in suffix_dedup.cut_repeats(df).collect()}
     assert cut == {1: text, 2: "", 3: "", 4: None, 5: "é" * 50 + "ü" * 50}
     assert suffix_dedup.repeat_report(df.limit(0)).count() == 0
+
+
+def test_covered_windows_of_a_hot_route_are_stretches(spark):
+    """Of a passage in many documents of a task, each but the first is one row, not one a window."""
+    text = "".join(random.Random(5).choices("abcdefghij", k=300))
+    keyed = spark.createDataFrame([(i, text) for i in range(60)], "doc long, text string").coalesce(1)
+    firsts = keyed.select(F.lit(5).cast("long").alias("route"), "doc", F.lit(0).cast("long").alias("start"), F.lit(201).cast("long").alias("windows"), F.lit(True).alias("hot"))
+    placed = suffix_dedup.with_bytes(firsts, keyed)
+    assert placed.count() == 201 + 59
+    spans = suffix_dedup.indexed_spans(placed).collect()
+    assert sorted((r["doc"], r["start"], r["end"]) for r in spans) == [(i, 0, 300) for i in range(1, 60)]

@@ -190,6 +190,17 @@ def window_prints(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...
     return tuple(x[order] for x in (one.view(np.int64), two.view(np.int64), doc, start))
 
 
+def runs_of_windows(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of each stretch of covered windows that follow one another."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], start[first], start[last] + WIDTH
+
+
 def repeated_before(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Which members of sorted pairs equal the one before."""
     again = np.zeros(len(one), bool)
@@ -197,13 +208,13 @@ def repeated_before(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return again
 
 
-PLACED = "route long, doc long, start long, data binary, print long"
+PLACED = "route long, doc long, start long, data binary, print long, end long"
 
 
 def with_bytes(firsts: DataFrame, keyed: DataFrame) -> DataFrame:
     """What is to meet by ``route``: pieces with their bytes, or windows of hot routes with a second hash.
 
-    A window that a task has seen before comes with neither: it is covered.
+    Windows that a task has seen before come with neither: they are covered, and a stretch of them is one row.
     """
     wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("route", "start", "windows", "hot")).alias("wanted"))
 
@@ -224,18 +235,24 @@ def with_bytes(firsts: DataFrame, keyed: DataFrame) -> DataFrame:
                     yield prints_of(hot)
                     hot, size = [], 0
             route, doc, start, data = zip(*rows) if rows else ([],) * 4
-            yield placed(pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary()), pa.nulls(len(rows), pa.int64()))
+            yield placed(pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()))
         if hot:
             yield prints_of(hot)
 
     def placed(*arrays: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(arrays), names=["route", "doc", "start", "data", "print"])
+        return pa.RecordBatch.from_arrays(list(arrays), names=["route", "doc", "start", "data", "print", "end"])
 
     def prints_of(hot: list) -> pa.RecordBatch:
         one, two, doc, start = window_prints(hot)
         again = repeated_before(one, two)
-        apart = mixed(doc.view(np.uint64) * M1 + start.view(np.uint64)).view(np.int64)
-        return placed(pa.array(np.where(again, apart, one)), pa.array(doc), pa.array(start), pa.nulls(len(one), pa.binary()), pa.array(two, mask=again))
+        covered, begin, end = runs_of_windows(doc[again], start[again])
+        apart = mixed(covered.view(np.uint64) * M1 + begin.view(np.uint64)).view(np.int64)
+        one, two, doc, start = (x[~again] for x in (one, two, doc, start))
+        none = pa.nulls(len(covered), pa.int64())
+        return placed(
+            pa.array(np.concatenate([one, apart])), pa.array(np.concatenate([doc, covered])), pa.array(np.concatenate([start, begin])),
+            pa.nulls(len(one) + len(end), pa.binary()), pa.concat_arrays([pa.array(two), none]), pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(end)]),
+        )
 
     return keyed.select("doc", "text").join(wanted, "doc").mapInArrow(fetch, PLACED)
 
@@ -290,12 +307,11 @@ def indexed_spans(pieces: DataFrame) -> DataFrame:
             whole, hashed = pc.is_valid(batch.column("data")), pc.is_valid(batch.column("print"))
             some = batch.filter(pc.invert(pc.or_(whole, hashed)))
             if some.num_rows:
-                start = some.column("start").to_numpy()
-                yield out(some.column("doc"), start, start + WIDTH)
+                yield out(*(some.column(name) for name in ("doc", "start", "end")))
             some = batch.filter(hashed)
             if some.num_rows:
                 doc, start, known = windows(some, known)
-                yield out(doc, start, start + WIDTH)
+                yield out(*runs_of_windows(doc, start))
             for r, doc, start, data in zip(*(batch.filter(whole).column(i).to_pylist() for i in range(4))):
                 if r != route and size >= BLOCK_BYTES:
                     yield spans(block)
