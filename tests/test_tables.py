@@ -265,6 +265,24 @@ def test_labels_of_a_large_vocabulary(spark):
     assert sorted(r.code for r in none.collect()) == [0, 1, 2]
 
 
+def test_rows_of_a_hot_label_are_spread(spark):
+    """Three labels are no three tasks: rows of frequent labels, and of none, are dealt by their other columns."""
+    label = F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 8, "b").when(F.col("id") % 10 < 9, "c")
+    df = spark.range(20_000).withColumn("label", label).repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("false", "-1", "8")):
+            spark.conf.set(k, v)
+        coded = columns.encode_labels(df, "label", "code")
+        tasks = coded.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+        codes = {(r.label, r.code) for r in coded.select("label", "code").distinct().collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert codes == {("a", 0), ("b", 1), ("c", 2), (None, None)}
+    assert sum(r.n for r in tasks) == 20_000 and max(r.n for r in tasks) < 20_000 / 4
+
+
 def test_matrix_of_too_many_labels_is_an_error(spark):
     df = spark.range(metrics.MOST_CLASSES + 5).select(F.col("id").alias("actual"), F.col("id").alias("predicted"))
     with pytest.raises(Exception, match="at most"):

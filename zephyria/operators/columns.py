@@ -103,23 +103,37 @@ def health_inputs(df: DataFrame) -> dict[str, Column]:
 LABEL_RANGES = 256
 
 
+def maps(df: DataFrame) -> set[str]:
+    """Columns that cannot be hashed."""
+    return {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()}
+
+
 def encode_labels(df: DataFrame, column: str, target: str, fill: str | None = None) -> DataFrame:
     """Add the position of the label among the table's distinct labels, sorted, from 0.
 
     The distinct labels (merged map-side first) are dealt to ranges between the labels of
     least hash, numbered in each and joined back, so no buffer, row or task ever holds the
-    whole vocabulary.
+    whole vocabulary. The most frequent labels (``LABEL_RANGES`` at most) travel to the rows
+    as one map, and their rows are spread by a salt, so the join sees no hot label.
     """
     label = F.col(column) if fill is None else F.coalesce(F.col(column), F.lit(fill))
-    labels = df.select(label.alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    labels = df.select(label.alias("_label")).where(F.col("_label").isNotNull()).groupBy("_label").agg(F.count(F.lit(1)).alias("_rows"))
     edges = labels.orderBy(F.xxhash64("_label"), "_label").limit(LABEL_RANGES - 1).agg(F.sort_array(F.collect_list("_label"))).scalar()
-    ranged = labels.withColumn("_edges", edges).select("_label", F.size(F.filter("_edges", lambda e: e <= F.col("_label"))).alias("_range"))
+    ranged = labels.withColumn("_edges", edges).select("_label", "_rows", F.size(F.filter("_edges", lambda e: e <= F.col("_label"))).alias("_range"))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("_range", "n"))).scalar()
     before = F.aggregate(F.filter("_sizes", lambda s: s["_range"] < F.col("_range")), F.lit(0).cast("long"), lambda n, s: n + s["n"])
     place = F.row_number().over(Window.partitionBy("_range").orderBy("_label")) - 1
-    codes = ranged.withColumn("_sizes", sizes).select("_label", (place + before).cast("int").alias("_code"))
-    joined = df.withColumn("_own", label).join(codes, F.col("_own") == F.col("_label"), "left")
-    return joined.withColumn(target, F.col("_code")).drop("_own", "_label", "_code")
+    codes = ranged.withColumn("_sizes", sizes).select("_label", "_rows", (place + before).cast("int").alias("_code"))
+    hot = codes.orderBy(F.col("_rows").desc(), "_label").limit(LABEL_RANGES)
+    hot = hot.agg(F.map_from_entries(F.collect_list(F.struct("_label", "_code")))).scalar()
+    coded = df.withColumns({"_own": label, "_hot": hot}).withColumn("_hot", F.when(F.col("_own").isNotNull(), F.element_at("_hot", F.col("_own"))))
+    # rows that need no partner (a hot label, or none) go anywhere, the others to their label
+    salt = F.when(F.col("_hot").isNotNull() | F.col("_own").isNull(), F.xxhash64(*[c for c in coded.columns if c not in maps(df)]))
+    salted = coded.withColumn("_to", F.struct(F.coalesce(salt.bitwiseOR(F.lit(1)), F.lit(0)).alias("salt"), F.col("_own").alias("label")))
+    # one key: a constant of its own would leave the key, and the labels would be hot again
+    known = codes.select(F.struct(F.lit(0).cast("long").alias("salt"), F.col("_label").alias("label")).alias("_to"), "_code")
+    joined = salted.join(known.withColumnRenamed("_to", "_at"), F.col("_to") == F.col("_at"), "left")
+    return joined.withColumn(target, F.coalesce("_hot", "_code")).drop("_own", "_hot", "_to", "_at", "_code")
 
 
 def fill_absent_features(df: DataFrame) -> DataFrame:
