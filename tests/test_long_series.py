@@ -71,6 +71,16 @@ def test_running_and_split_equal_the_window_form(rows):
     _same(long_series.temporal_split(rows), windows.temporal_split(rows))
 
 
+def test_figures_of_buckets_are_shuffled_once_a_pass(rows):
+    """Not once for each window over them: two for any number of columns (rows by bucket, figures by series and back)."""
+    wide = rows.withColumns({f"z{i}": F.col("y") + i for i in range(5)})
+    cols = [f"z{i}" for i in range(5)]
+    for op in (lambda d, c: long_series.blank_outliers(d, c), lambda d, c: long_series.fill_nearest(d, c)):
+        plans = [op(wide, c)._jdf.queryExecution().executedPlan().toString() for c in (cols[:1], cols)]
+        one, five = (p.count("Exchange hashpartitioning") for p in plans)
+        assert one == five <= 4, plans[1]
+
+
 def test_no_rows(spark, rows):
     none = rows.where("false")
     for op in (*PAIRS.values(), *ROLLED.values()):

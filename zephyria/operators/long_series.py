@@ -45,16 +45,24 @@ def _placed(df: DataFrame, keys: Sequence[str], order: str, bucket: Column | Non
     return _dealt(df, keys, order, bucket).withColumn("_here", F.row_number().over(forward(AT, order)))
 
 
-def _series(keys: Sequence[str]) -> list[Column]:
-    return [F.col("_at").getField(k) for k in keys]
+def _by_series(told: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The buckets' figures with series and bucket as columns of their own.
+
+    Windows over fields of ``_at`` would each make a column anew, and Spark shuffle by each.
+    """
+    return told.withColumns({**{f"_key{i}": F.col("_at").getField(k) for i, k in enumerate(keys)}, "_nth": F.col("_at._bucket")})
+
+
+def _series(keys: Sequence[str]) -> list[str]:
+    return [f"_key{i}" for i in range(len(keys))]
 
 
 def _earlier(keys: Sequence[str]):
-    return Window.partitionBy(*_series(keys)).orderBy(F.col("_at._bucket").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*_series(keys)).orderBy(F.col("_nth").asc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _later(keys: Sequence[str]):
-    return Window.partitionBy(*_series(keys)).orderBy(F.col("_at._bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*_series(keys)).orderBy(F.col("_nth").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_positions(
@@ -62,7 +70,7 @@ def with_positions(
 ) -> DataFrame:
     """Add ``_pos``, a row's place in its series from 1, and ``_n``, the length of the series."""
     totals = _dealt(df, keys, order, bucket).groupBy("_at").agg(F.count(F.lit(1)).alias("_rows"))
-    sums = totals.select(
+    sums = _by_series(totals, keys).select(
         "_at",
         F.coalesce(F.sum("_rows").over(_earlier(keys)), F.lit(0)).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*_series(keys))).alias("_n"),
@@ -112,7 +120,7 @@ def _bracketed(
             F.max_by(c, place).alias(f"_{c}_last"),
             F.max(place).alias(f"_{c}_last_at"),
         ]
-    told = rows.groupBy("_at").agg(*figures)
+    told = _by_series(rows.groupBy("_at").agg(*figures), keys)
     told = told.withColumn("_before", F.coalesce(F.sum("_rows").over(_earlier(keys)), F.lit(0)))
     carried = []
     for c in cols:
@@ -185,13 +193,15 @@ def blank_outliers(
     figures = []
     for c in cols:
         figures += [F.count(c).alias(f"_{c}_k"), F.avg(c).alias(f"_{c}_m"), (F.var_pop(c) * F.count(c)).alias(f"_{c}_q")]
-    told = rows.groupBy("_at").agg(*(figures or [F.count(F.lit(1)).alias("_rows")]))
+    told = _by_series(rows.groupBy("_at").agg(*(figures or [F.count(F.lit(1)).alias("_rows")])), keys)
     series = Window.partitionBy(*_series(keys))
+    merged, spread = {}, {}
     for c in cols:
         k, m = F.col(f"_{c}_k"), F.col(f"_{c}_m")
-        told = told.withColumns({f"_{c}_all": F.sum(k).over(series), f"_{c}_mean": F.try_divide(F.sum(k * m).over(series), F.sum(k).over(series))})
-        spread = F.sum(F.col(f"_{c}_q") + k * (m - F.col(f"_{c}_mean")) ** 2).over(series)
-        told = told.withColumn(f"_{c}_sd", F.sqrt(F.when(F.col(f"_{c}_all") > 1, spread / (F.col(f"_{c}_all") - 1))))
+        merged |= {f"_{c}_all": F.sum(k).over(series), f"_{c}_mean": F.try_divide(F.sum(k * m).over(series), F.sum(k).over(series))}
+        total = F.sum(F.col(f"_{c}_q") + k * (m - F.col(f"_{c}_mean")) ** 2).over(series)
+        spread[f"_{c}_sd"] = F.sqrt(F.when(F.col(f"_{c}_all") > 1, total / (F.col(f"_{c}_all") - 1)))
+    told = told.withColumns(merged).withColumns(spread)
     met = rows.join(told.select("_at", *[f"_{c}_{f}" for c in cols for f in ("mean", "sd")]), "_at")
 
     def blanked(c: str) -> Column:
@@ -281,8 +291,8 @@ def loss_since_first(
 ) -> DataFrame:
     """Percentage lost against the first row of the series."""
     rows = _dealt(df, keys, order, bucket)
-    told = rows.groupBy("_at").agg(F.min_by(F.struct(F.col(column).alias("x")), F.col(order)).alias("_row"))
-    start = so_far(Window.partitionBy(*_series(keys)).orderBy(F.col("_at._bucket").asc()))
+    told = _by_series(rows.groupBy("_at").agg(F.min_by(F.struct(F.col(column).alias("x")), F.col(order)).alias("_row")), keys)
+    start = so_far(Window.partitionBy(*_series(keys)).orderBy(F.col("_nth").asc()))
     met = rows.join(told.select("_at", F.first("_row").over(start).getField("x").alias("_first")), "_at")
     first = F.col("_first")
     return met.withColumn(out, rnd(F.try_divide(first - F.col(column), first) * 100.0, 2)).drop("_at", "_first")
@@ -293,7 +303,7 @@ def running_max(
 ) -> DataFrame:
     """The largest value so far; NULL where the row's own value is."""
     rows = _dealt(df, keys, order, bucket)
-    told = rows.groupBy("_at").agg(F.max(column).alias("_peak"))
+    told = _by_series(rows.groupBy("_at").agg(F.max(column).alias("_peak")), keys)
     met = rows.join(told.select("_at", F.max("_peak").over(_earlier(keys)).alias("_far")), "_at")
     peak = F.greatest(F.max(column).over(so_far(forward(AT, order))), F.col("_far"))
     return met.withColumn(out, F.when(F.col(column).isNotNull(), peak)).drop("_at", "_far")
