@@ -29,6 +29,19 @@ def test_daily_windows_are_spread_by_station(spark, sf_dir, name):
     assert "Exchange SinglePartition" not in plan_of(QUERIES[name](spark, sf_dir))
 
 
+@pytest.mark.parametrize("name", ["outlier_blank", "clean_aqi", "long_interp_both", "long_ffill_bfill"])
+def test_tasks_of_windows_are_bounded_by_bytes(spark, sf_dir, name):
+    """Rows are dealt finely, however few partitions the session asks for, and put together up to a size."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        counts = re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(QUERIES[name](spark, sf_dir)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert counts and min(map(int, counts)) >= 256
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("32m", "33554432b")
+
+
 def test_scoring_adds_no_shuffle(spark, sf_dir):
     """The only exchange is the daily collapse of the raw readings."""
     assert plan_of(QUERIES["health_risks"](spark, sf_dir)).count("Exchange ") == 1

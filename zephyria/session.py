@@ -17,6 +17,10 @@ _TUNING = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a stage of windows sorts its rows several times over: its tasks are bounded by bytes,
+    # dealt finely first and put together up to this size, so that a task does not grow with the input
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "256",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
 }
 
 
