@@ -2,12 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from zephyria.llm.token_align import cross_alignment
+from zephyria.llm.token_align import cross_alignment, ends_before, json_side, piece_side, sound
 from zephyria.llm.tokenizers_local import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -75,3 +76,18 @@ def test_alignment_of_long_and_no_texts(spark):
     own = Tokenizer.from_file(A)
     assert row.n_a == len(own.encode(" " + text, add_special_tokens=False).ids)
     assert row.n_links == row.n_a + row.n_b - row.n_groups
+
+
+def test_texts_are_held_against_their_tokens_all_at_once():
+    """A text that one side spells in other bytes, or in fewer or more, is told among sound ones."""
+    (encode_a, bytes_a), (encode_b, bytes_b) = json_side(A), piece_side(B)
+    texts = ["one two", "", "same", "bytes", "longer text", *TEXTS[2:6]]
+    ids_a, ids_b = encode_a(texts), encode_b(texts)
+    plain = lambda ids, s: b"".join(bytes(s.line[s.start[i] : s.start[i] + s.length[i]]) for i in ids.tolist())
+    ids_b[2], ids_b[3] = encode_b(["sane"])[0], ids_b[3][:-1]  # as many bytes, but others; and fewer
+    want = [bool(t) and all(plain(x[i], s) == (" " + t).encode() for x, s in ((ids_a, bytes_a), (ids_b, bytes_b))) for i, t in enumerate(texts)]
+    assert sound(texts, [(ids_a, bytes_a), (ids_b, bytes_b)]).tolist() == want
+    assert want[0] and want[4] and not any(want[1:4])
+    assert sound([], [([], bytes_a)]).tolist() == []
+    ends = np.array([2, 3, 7])
+    assert ends_before(ends, 7).tolist() == np.searchsorted(ends, np.arange(8), "left").tolist()

@@ -44,6 +44,28 @@ HOT_PAIRS = 1 << 16
 SPAN = 1 << 32
 
 
+@dataclass
+class Spelling:
+    """The bytes of every token of a side, one after another."""
+
+    line: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, table: list[bytes]) -> Spelling:
+        length = np.array([len(x) for x in table], np.int64)
+        return cls(np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length, length)
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def spelled(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes of ``ids``, which end at ``ends``."""
+        length = self.length[ids]
+        return self.line[np.repeat(self.start[ids] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 @lru_cache(maxsize=4)
 def json_side(path: str):
     """(texts to ids, bytes of each token) of a byte-level ``.json`` file; a space goes before each text."""
@@ -56,7 +78,7 @@ def json_side(path: str):
     for token, i in vocab.items():
         table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
     encode = plain_encoder(path)
-    return lambda texts: [encode(" " + t) for t in texts], table
+    return lambda texts: [encode(" " + t) for t in texts], Spelling.of(table)
 
 
 @lru_cache(maxsize=4)
@@ -69,18 +91,25 @@ def piece_side(path: str):
     for i in range(pieces.get_piece_size()):
         piece = pieces.id_to_piece(i)
         table.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
-    return lambda texts: [np.asarray(x, np.int64) for x in pieces.encode(texts, num_threads=1)], table
+    return lambda texts: [np.asarray(x, np.int64) for x in pieces.encode(texts, num_threads=1)], Spelling.of(table)
+
 
+def ends_before(ends: np.ndarray, size: int) -> np.ndarray:
+    """How many of the rising ``ends`` are below each byte place up to ``size``: the token that ends there or holds it."""
+    ending = np.zeros(size + 1, np.int64)
+    ending[ends] = 1
+    return np.cumsum(ending) - ending
 
-def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def terminals(a_end: np.ndarray, b_end: np.ndarray, a_before: np.ndarray, b_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group label of every token of either side: the second side's token that ends its group.
 
-    The ends rise and both sides end at the same byte.
+    The ends rise and both sides end at the same byte; ``a_before`` and ``b_before`` are their ``ends_before``.
     """
     n = len(a_end)
     own = np.arange(len(b_end))
-    to_b = np.searchsorted(b_end, a_end, "left")  # holds the last byte of the first side's token
-    to_a = np.searchsorted(a_end, b_end, "left")
+    to_b = b_before[a_end]  # holds the last byte of the first side's token
+    to_a = a_before[b_end]
     ahead = np.where(a_end[to_a] > b_end, to_a, n + own) if n else own
     successor = np.concatenate([n + to_b, ahead])
     while True:
@@ -108,21 +137,38 @@ class Labels:
         return self.table[codes].tobytes().translate(None, b"\0")
 
 
+def sound(texts: list[str], sides: list[tuple[list[np.ndarray], Spelling]]) -> np.ndarray:
+    """Whether every side's tokens of a text spell a space and the text; an empty text has none."""
+    wholes = [(" " + t).encode() if t else b"" for t in texts]
+    size = np.array([len(w) for w in wholes], np.int64)
+    kept = size > 0
+    for ids, spelling in sides:
+        first = np.cumsum([0, *map(len, ids)])
+        until = np.concatenate([[0], np.cumsum(spelling.length[np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)])])[first]
+        kept &= np.diff(until) == size
+    at = np.flatnonzero(kept)
+    line = np.frombuffer(b"".join(wholes[i] for i in at.tolist()), np.uint8)
+    owner_end = np.cumsum(size[at])
+    for ids, spelling in sides:
+        tokens = np.concatenate([*(ids[i] for i in at.tolist()), np.zeros(0, np.int64)]).astype(np.int64)
+        off = np.flatnonzero(spelling.spelled(tokens, np.cumsum(spelling.length[tokens])) != line)
+        kept[at[np.searchsorted(owner_end, off, "right")]] = False
+    return kept
+
+
 def aligned(texts: list[str], side_a, side_b, labels: Labels) -> dict[str, list]:
     """Columns of the report and the distinct linked pairs of each text, with their counts."""
     (encode_a, bytes_a), (encode_b, bytes_b) = side_a, side_b
     ids_a, ids_b = encode_a(texts), encode_b(texts)
-    kept = []
-    for text, a, b in zip(texts, ids_a, ids_b):
-        whole = (" " + text).encode() if text else b""
-        kept.append(bool(whole) and b"".join(map(bytes_a.__getitem__, a.tolist())) == whole and b"".join(map(bytes_b.__getitem__, b.tolist())) == whole)
     zero = np.zeros(0, np.int64)
-    ids_a = [x.astype(np.int64) if k else zero for k, x in zip(kept, ids_a)]
-    ids_b = [x.astype(np.int64) if k else zero for k, x in zip(kept, ids_b)]
+    kept = sound(texts, [(ids_a, bytes_a), (ids_b, bytes_b)]).tolist()
+    ids_a, ids_b = ([x if k else zero for k, x in zip(kept, ids)] for ids in (ids_a, ids_b))
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.concatenate([*ids, zero]) for ids in (ids_a, ids_b))
-    a_end, b_end = (np.cumsum(np.fromiter((len(t[i]) for i in ids.tolist()), np.int64, len(ids))) for t, ids in ((bytes_a, a), (bytes_b, b)))
-    label_a, label_b = terminals(a_end, b_end)
+    a, b = (np.concatenate([*ids, zero]).astype(np.int64) for ids in (ids_a, ids_b))
+    a_end, b_end = np.cumsum(bytes_a.length[a]), np.cumsum(bytes_b.length[b])
+    size = int(b_end[-1]) if len(b) else 0
+    a_before, b_before = ends_before(a_end, size), ends_before(b_end, size)
+    label_a, label_b = terminals(a_end, b_end, a_before, b_before)
 
     first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
     doc_a, doc_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
@@ -130,9 +176,12 @@ def aligned(texts: list[str], side_a, side_b, labels: Labels) -> dict[str, list]
     n_groups = np.bincount(doc_b[last_b], minlength=len(texts))
 
     # groups as text: first side's ids of a group, then the second side's
-    group_a, group_b = (np.searchsorted(np.flatnonzero(last_b), x) for x in (label_a, label_b))
-    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
-    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    number = np.cumsum(last_b) - 1
+    group_a, group_b = number[label_a], number[label_b]
+    groups = int(last_b.sum())
+    in_b = np.bincount(group_b, minlength=groups)
+    place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+    place_b = np.arange(len(b)) + np.cumsum(np.bincount(group_a, minlength=groups))[group_b]
     codes = np.zeros(len(a) + len(b), np.int64)
     ends_a = np.append(group_a[1:] != group_a[:-1], True) if len(a) else np.zeros(0, bool)
     final = np.zeros(len(b), bool)
@@ -142,24 +191,26 @@ def aligned(texts: list[str], side_a, side_b, labels: Labels) -> dict[str, list]
     cut = (first_a + first_b).tolist()
     digests = [hashlib.sha256(labels.text(codes[x:y])).hexdigest() if y > x else "" for x, y in zip(cut, cut[1:])]
 
-    # a link is the stretch up to an end of either side
-    ends = np.union1d(a_end, b_end)
-    at_a, at_b = np.searchsorted(a_end, ends, "left"), np.searchsorted(b_end, ends, "left")
-    pair, doc = a[at_a] * SPAN + b[at_b], doc_a[at_a]
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+    # a link is the stretch up to an end of either side; one number holds its text and its pair, so that a plain sort will do
+    ending = np.zeros(size + 1, bool)
+    ending[a_end] = ending[b_end] = True
+    ends = np.flatnonzero(ending)
+    at_a, at_b = a_before[ends], b_before[ends]
+    doc, pairs = doc_a[at_a], len(bytes_a) * len(bytes_b)
+    link = np.sort((doc * len(bytes_a) + a[at_a]) * len(bytes_b) + b[at_b])
+    new = np.ones(len(link), bool)
+    new[1:] = link[1:] != link[:-1]
     at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(pair)))
-    starts = np.searchsorted(doc[at], np.arange(len(texts) + 1))
+    times = np.diff(np.append(at, len(link)))
+    starts = np.searchsorted(link[at], np.arange(len(texts) + 1) * pairs)
+    first, second = np.divmod(link[at] - np.repeat(np.arange(len(texts)) * pairs, np.diff(starts)), len(bytes_b))
     return {
         "n_a": n_a,
         "n_b": n_b,
         "n_groups": n_groups,
         "n_links": np.bincount(doc, minlength=len(texts)),
         "groups_sha256": digests,
-        "pairs": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pair[at], pa.int64())),
+        "pairs": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(first * SPAN + second, pa.int64())),
         "times": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(times, pa.int32())),
     }
 
