@@ -223,6 +223,20 @@ def test_preprocess_touches_nothing_without_both_inputs(spark, tmp_path):
     assert stored(spark, jobs.processed(root, "aqi_processed")).count() == 40
 
 
+def test_job_tables_are_not_moved_to_be_written(spark, tmp_path):
+    """Whoever reads them reads every year, so the tasks that work rows out write them."""
+    root = str(tmp_path)
+    air = series(spark, {c: [30.0] * 400 for c in ("pm25", "pm10", "no2", "so2", "co", "o3", "aqi")})
+    tables.write_table(weather_rows(spark, 400), jobs.raw(root, "meteorological"), fmt="csv")
+    tables.write_table(air, jobs.raw(root, "aqi"), fmt="csv")
+    jobs.preprocess(spark, root)
+    years = {(r["year"], r["count"]) for r in jobs.features(spark, root).groupBy("year").count().collect()}
+    assert sum(n for _, n in years) == 400 and len(years) == 2
+    for name in ("met_processed", "aqi_processed", "merged_dataset", "features_dataset"):
+        found = list((tmp_path / "processed" / name).glob("v-*"))
+        assert list(found[0].glob("*.parquet")) and not list(found[0].glob("year=*"))
+
+
 def test_risks_without_air_use_the_defaults(spark, tmp_path):
     root = str(tmp_path)
     tables.write_table(weather_rows(spark), jobs.raw(root, "meteorological"), fmt="csv")

@@ -31,7 +31,9 @@ def preprocess(spark: SparkSession, root: str) -> DataFrame:
     """Raw weather and air to cleaned and merged tables.
 
     The merge reads the two cleaned tables back, so cleaning runs once and a
-    lost executor only repeats the step it was in. Nothing is written unless both
+    lost executor only repeats the step it was in. The tables are written by the tasks that
+    work them out, in files of their size: whoever reads them reads every year, so gathering
+    them by year would only move them once more. Nothing is written unless both
     inputs are there and have rows.
     """
     inputs = {n: find(spark, raw(root, n), s) for n, s in (("meteorological", schemas.WEATHER), ("aqi", schemas.AIR))}
@@ -39,18 +41,18 @@ def preprocess(spark: SparkSession, root: str) -> DataFrame:
     if missing:
         raise FileNotFoundError(f"no raw rows of {' and '.join(missing)} below {root}; stored tables are left as they are")
     weather, air = inputs.values()
-    write_table(daily.clean_weather(weather), processed(root, "met_processed"))
+    write_table(daily.clean_weather(weather), processed(root, "met_processed"), partition_by=())
     write_table(daily.clean_air(air), processed(root, "aqi_processed"), partition_by=())
     merged = daily.merge_daily(
         _stored(spark, processed(root, "met_processed")), _stored(spark, processed(root, "aqi_processed"))
     )
-    write_table(merged, processed(root, "merged_dataset"))
+    write_table(merged, processed(root, "merged_dataset"), partition_by=())
     return _stored(spark, processed(root, "merged_dataset"))
 
 
 def features(spark: SparkSession, root: str) -> DataFrame:
     merged = _stored(spark, processed(root, "merged_dataset"))
-    write_table(daily.engineer_features(merged), processed(root, "features_dataset"))
+    write_table(daily.engineer_features(merged), processed(root, "features_dataset"), partition_by=())
     return _stored(spark, processed(root, "features_dataset"))
 
 
