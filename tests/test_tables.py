@@ -237,6 +237,40 @@ def test_job_tables_are_not_moved_to_be_written(spark, tmp_path):
         assert list(found[0].glob("*.parquet")) and not list(found[0].glob("year=*"))
 
 
+def test_job_tables_meet_without_being_moved(spark, tmp_path, monkeypatch):
+    """The cleaned tables are joined, and the merged one gets its features, in the buckets of their stations."""
+    root, plans = str(tmp_path), {}
+    air = series(spark, {c: [30.0] * 40 for c in ("pm25", "pm10", "no2", "so2", "co", "o3", "aqi")})
+    tables.write_table(weather_rows(spark), jobs.raw(root, "meteorological"), fmt="csv")
+    tables.write_table(air, jobs.raw(root, "aqi"), fmt="csv")
+    for name in ("write_clustered", "write_table"):
+        write = getattr(jobs, name)
+
+        def seen(df, path, *rest, write=write, **more):
+            plans[path.rsplit("/")[-1]] = df._jdf.queryExecution().executedPlan().toString()
+            write(df, path, *rest, **more)
+
+        monkeypatch.setattr(jobs, name, seen)
+    jobs.preprocess(spark, root)
+    assert jobs.features(spark, root).count() == 40
+    assert "Exchange" in plans["met_processed"] and "Exchange" in plans["aqi_processed"]
+    assert "Join" in plans["merged_dataset"] and "Window" in plans["features_dataset"]
+    assert not [n for n in ("merged_dataset", "features_dataset") if "Exchange" in plans[n]]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("clustered")]
+
+
+def test_clustered_tables_are_read_as_they_are_stored(spark, tmp_path):
+    rows = [(None, 1.0, "a'b"), (1, 2.0, None), (1, 2.0, None), (2, None, "c")]
+    df, path = spark.createDataFrame(rows, "station_id long, `x y` double, z string"), str(tmp_path / "it's")
+    tables.write_table(df, path)
+    assert sorted(tables.clustered(spark, path, "station_id").collect(), key=str) == sorted(df.collect(), key=str)
+    tables.write_clustered(df, path, "station_id", 4)
+    found = tables.clustered(spark, path, "station_id")
+    assert sorted(found.collect(), key=str) == sorted(df.collect(), key=str) == sorted(stored(spark, path).collect(), key=str)
+    tables.write_clustered(found, path, "station_id", 8)
+    assert tables.clustered(spark, path, "station_id").count() == 4 and len(tables.versions(spark, path)) == 2
+
+
 def test_risks_without_air_use_the_defaults(spark, tmp_path):
     root = str(tmp_path)
     tables.write_table(weather_rows(spark), jobs.raw(root, "meteorological"), fmt="csv")

@@ -9,10 +9,14 @@ from pyspark.sql import types as T
 
 from zephyria.operators import aggregates, spatial
 from zephyria.operators.joins import attach_air
+from zephyria.operators.series import KEYS
 from zephyria.plans import clustering, daily, models
 from zephyria.sources import schemas
 from zephyria.sources.metrics_store import write_metrics
-from zephyria.sources.tables import current, find, scan, scan_first, write_table
+from zephyria.sources.tables import clustered, current, find, scan, scan_first, stored_bytes, write_clustered, write_table
+
+#: Bytes of the raw tables for which the daily tables have one more bucket, the least and the most of them.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 8, 1 << 11
 
 
 def processed(root: str, name: str) -> str:
@@ -32,8 +36,9 @@ def preprocess(spark: SparkSession, root: str) -> DataFrame:
 
     The merge reads the two cleaned tables back, so cleaning runs once and a
     lost executor only repeats the step it was in. The tables are written by the tasks that
-    work them out, in files of their size: whoever reads them reads every year, so gathering
-    them by year would only move them once more. Nothing is written unless both
+    work them out: whoever reads them reads every year, so gathering them by year would only
+    move them once more. They are clustered by station, as cleaning leaves them, so the merge
+    and the windows over its result read them where they are. Nothing is written unless both
     inputs are there and have rows.
     """
     inputs = {n: find(spark, raw(root, n), s) for n, s in (("meteorological", schemas.WEATHER), ("aqi", schemas.AIR))}
@@ -41,18 +46,18 @@ def preprocess(spark: SparkSession, root: str) -> DataFrame:
     if missing:
         raise FileNotFoundError(f"no raw rows of {' and '.join(missing)} below {root}; stored tables are left as they are")
     weather, air = inputs.values()
-    write_table(daily.clean_weather(weather), processed(root, "met_processed"), partition_by=())
-    write_table(daily.clean_air(air), processed(root, "aqi_processed"), partition_by=())
-    merged = daily.merge_daily(
-        _stored(spark, processed(root, "met_processed")), _stored(spark, processed(root, "aqi_processed"))
-    )
-    write_table(merged, processed(root, "merged_dataset"), partition_by=())
+    size = sum(stored_bytes(spark, raw(root, n)) for n in inputs)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))  # shares or splits the parts of a shuffle
+    write_clustered(daily.clean_weather(weather), processed(root, "met_processed"), *KEYS, buckets)
+    write_clustered(daily.clean_air(air), processed(root, "aqi_processed"), *KEYS, buckets)
+    merged = daily.merge_daily(*[clustered(spark, processed(root, n), *KEYS) for n in ("met_processed", "aqi_processed")])
+    write_clustered(merged, processed(root, "merged_dataset"), *KEYS, buckets)
     return _stored(spark, processed(root, "merged_dataset"))
 
 
 def features(spark: SparkSession, root: str) -> DataFrame:
-    merged = _stored(spark, processed(root, "merged_dataset"))
-    write_table(daily.engineer_features(merged), processed(root, "features_dataset"), partition_by=())
+    merged = clustered(spark, processed(root, "merged_dataset"), *KEYS)
+    write_table(daily.engineer_features(merged), processed(root, "features_dataset"), partition_by=(), compression="zstd")
     return _stored(spark, processed(root, "features_dataset"))
 
 
